@@ -292,9 +292,12 @@ class Prepared:
 
 
 def prepare_forecast(panel: Panel, tiebreak: str, dedup_values: bool = False) -> Prepared:
-    """Clean, keep known values, thin very long series, set short ones aside."""
+    """Clean, keep known values, thin very long series, set short ones aside.
+
+    The result is written once: every model, statistic and score reads it again."""
     cleaned = clean(panel, tiebreak, dedup_values)
     thinned = thin(cleaned.panel.derive(cleaned.panel.df.select(*panel.keys, "ts", "value")).known())
+    thinned = thinned.derive(settle(thinned.df))
     return Prepared(long_enough(thinned), cleaned.report, too_short(thinned))
 
 

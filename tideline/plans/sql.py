@@ -172,10 +172,15 @@ analysis AS (SELECT * EXCLUDE (ready), quality_confidence AS confidence,
             WHEN ready >= 60 THEN 'C' ELSE 'Needs Improvement' END AS forecast_grade
        FROM a1)"""
 
-# Lays daily series on the full calendar; ``p`` holds unique stamps.
-DAILY_GRID = """
-x AS (SELECT k, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY k),
-c AS (SELECT k, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM x),
+# Lays series on the calendar of their frequency; ``p`` holds unique stamps.
+STEP = """CASE code WHEN 'min' THEN INTERVAL 1 MINUTE WHEN 'H' THEN INTERVAL 1 HOUR WHEN 'D' THEN INTERVAL 1 DAY
+             WHEN 'W' THEN INTERVAL 7 DAY WHEN 'M' THEN INTERVAL 1 MONTH WHEN 'MS' THEN INTERVAL 1 MONTH
+             WHEN 'Q' THEN INTERVAL 3 MONTH WHEN 'Y' THEN INTERVAL 1 YEAR END"""
+
+GRID = FREQUENCY + f""",
+c AS (SELECT k, unnest(generate_series(first_ts, last_ts, {STEP})) AS ts
+      FROM frequency WHERE code IS NOT NULL AND code <> 'IRREGULAR'
+      UNION ALL SELECT k, ts FROM p JOIN frequency USING (k) WHERE code IS NULL OR code = 'IRREGULAR'),
 grid AS (SELECT c.k, c.ts, p.value, p.k IS NOT NULL AS observed
          FROM c LEFT JOIN p ON p.k = c.k AND p.ts = c.ts)"""
 

@@ -1,7 +1,8 @@
 """The series the registered queries run on, in Spark and as SQL.
 
 Each fixture is a rule over whole tables; the SQL twin is a common table expression
-``p(k, ts, value)`` that the oracle statements start from."""
+``p(k, ts, value)`` that the oracle statements start from. Values are whole (units, cents), so sums and
+means are exact in both engines and need no tolerance."""
 
 from __future__ import annotations
 
@@ -24,12 +25,12 @@ def _panel(df: DataFrame) -> Panel:
 def priority_daily(spark: SparkSession, folder: str) -> Panel:
     """Daily revenue per order priority; has gaps."""
     orders = table(spark, folder, "orders")
-    revenue = F.round(F.sum("o_totalprice"), 2).alias("value")
+    revenue = F.sum(F.floor("o_totalprice").cast("double")).alias("value")
     return _panel(orders.groupBy(F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("ts")).agg(revenue))
 
 
 PRIORITY_DAILY = """
-p AS (SELECT o_orderpriority AS k, o_orderdate AS ts, round(sum(o_totalprice), 2) AS value
+p AS (SELECT o_orderpriority AS k, o_orderdate AS ts, sum(floor(o_totalprice)) AS value
       FROM orders GROUP BY 1, 2)"""
 
 
@@ -42,7 +43,7 @@ def gappy_daily(spark: SparkSession, folder: str) -> Panel:
 
 GAPPY_DAILY = """
 p AS (SELECT o_orderpriority AS k, o_orderdate AS ts,
-             CASE WHEN dayofyear(o_orderdate) % 7 <> 0 THEN round(sum(o_totalprice), 2) END AS value
+             CASE WHEN dayofyear(o_orderdate) % 7 <> 0 THEN sum(floor(o_totalprice)) END AS value
       FROM orders GROUP BY 1, 2)"""
 
 
@@ -50,13 +51,13 @@ def priority_monthly(spark: SparkSession, folder: str) -> Panel:
     """Monthly revenue per order priority."""
     orders = table(spark, folder, "orders")
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")
-    revenue = F.round(F.sum("o_totalprice"), 2).alias("value")
+    revenue = F.sum(F.floor("o_totalprice").cast("double")).alias("value")
     return _panel(orders.groupBy(F.col("o_orderpriority").alias("k"), month).agg(revenue))
 
 
 PRIORITY_MONTHLY = """
 p AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::TIMESTAMP AS ts,
-             round(sum(o_totalprice), 2) AS value
+             sum(floor(o_totalprice)) AS value
       FROM orders GROUP BY 1, 2)"""
 
 
@@ -64,12 +65,12 @@ def event_hourly(spark: SparkSession, folder: str) -> Panel:
     """Hourly value totals per event type; has gaps."""
     events = table(spark, folder, "events")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
-    total = F.round(F.sum("value"), 2).alias("value")
+    total = F.sum(F.round(F.col("value") * 100)).alias("value")
     return _panel(events.groupBy(F.col("event_type").alias("k"), hour).agg(total))
 
 
 EVENT_HOURLY = """
-p AS (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 2) AS value
+p AS (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS ts, sum(round(value * 100)) AS value
       FROM events GROUP BY 1, 2)"""
 
 
@@ -81,17 +82,18 @@ def gappy_hourly(spark: SparkSession, folder: str) -> Panel:
 
 GAPPY_HOURLY = """
 p AS (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS ts,
-             CASE WHEN hour(date_trunc('hour', ts)::TIMESTAMP) % 5 <> 0 THEN round(sum(value), 2) END AS value
+             CASE WHEN hour(date_trunc('hour', ts)::TIMESTAMP) % 5 <> 0 THEN sum(round(value * 100)) END AS value
       FROM events GROUP BY 1, 2)"""
 
 
 def event_raw(spark: SparkSession, folder: str) -> Panel:
     """Every event as it is, per event type; irregular stamps."""
-    return Panel.of(table(spark, folder, "events").withColumnRenamed("event_type", "k"), "ts", "value", ["k"])
+    events = table(spark, folder, "events").withColumnRenamed("event_type", "k")
+    return Panel.of(events.withColumn("value", F.round(F.col("value") * 100)), "ts", "value", ["k"])
 
 
 EVENT_RAW = """
-p AS (SELECT event_type AS k, ts, value FROM events)"""
+p AS (SELECT event_type AS k, ts, round(value * 100) AS value FROM events)"""
 
 
 def dirty_orders(spark: SparkSession, folder: str) -> Panel:
