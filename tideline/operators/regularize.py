@@ -11,7 +11,7 @@ from tideline.functions.steps import STEPS, advance, steps_between
 from tideline.operators.detect import detect_frequency
 from tideline.operators.quantile import summarise
 from tideline.operators.split import nearest_known, over_rows, positions
-from tideline.panel import Panel, micros
+from tideline.panel import Panel, Size, micros
 from tideline.session import settle
 
 MODEL_ROWS = 50_000
@@ -48,15 +48,18 @@ class Grid:
 def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     """Lay unique stamps on the grid that starts at the first stamp.
 
-    Each row also emits the empty stamps up to the next row, so no calendar table is
+    The frequency (one row per series) is settled first, which also gives the size of
+    the grid. Each row then emits the empty stamps up to the next row, so no calendar table is
     built and nothing is joined. Rows off the grid are dropped and counted. Series
     without a step keep their rows. Where rows carry ``pos`` it becomes the place on
     the grid, so later steps need not number the rows again."""
     keys = panel.keys
-    frequency = detect_frequency(panel) if frequency is None else frequency
+    frequency = settle(detect_frequency(panel) if frequency is None else frequency)
     steps = frequency.select(*keys, "code", "frequency", "first_ts", "last_ts")
     code = F.col("code")
     stepped = code.isin(list(STEPS))
+    longest = frequency.where(stepped).agg(F.max(steps_between(F.col("first_ts"), F.col("last_ts"), code))).first()[0]
+    size = Size(panel.size.series, max(panel.size.largest, (longest or 0) + 1))
     place = F.when(stepped, steps_between(F.col("first_ts"), F.col("ts"), code))
     rows = panel.attach(panel.df, steps).withColumn("_place", place)
     on_grid = ~stepped | code.isNull() | (advance(F.col("first_ts"), code, F.col("_place")) == F.col("ts"))
@@ -93,7 +96,7 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     filled = opened.select(
         *keys, stamp.alias("ts"), F.when(own, F.col("value")).alias("value"), own.alias("observed"), *placed
     )
-    return Grid(panel.derive(filled, keep_size=False), report)
+    return Grid(panel.derive(filled, size=size), report)
 
 
 def interpolate_time(panel: Panel) -> DataFrame:
@@ -161,8 +164,8 @@ def clean(panel: Panel, tiebreak: str, dedup_values: bool = False) -> Grid:
     )
     unique = first_per_stamp(drop_unparsed(panel), tiebreak)
     unique = unique.derive(unique.df.select(*keys, "ts", "value"))
-    if unique.split:  # numbered once, read three times below
-        unique = unique.derive(settle(positions(unique)))
+    # Read three times below: for the frequency, the report and the grid.
+    unique = unique.derive(settle(positions(unique) if unique.split else unique.df))
     grid = to_grid(unique)
     filled = grid.panel.derive(interpolate_time(grid.panel))
     if dedup_values:

@@ -26,6 +26,25 @@ class Size:
     largest: int
 
 
+class Measure:
+    """The size of a frame's series, counted on first use and shared by derived panels."""
+
+    def __init__(self, df: DataFrame, keys: list[str], size: Size | None = None):
+        self.df, self.keys, self._size = df, keys, size
+
+    @property
+    def size(self) -> Size:
+        if self._size is None:
+            row = (
+                self.df.groupBy(*self.keys)
+                .agg(F.count("*").alias("n"))
+                .agg(F.count("*").alias("series"), F.max("n").alias("largest"))
+                .first()
+            )
+            self._size = Size(row["series"], row["largest"] or 0)
+        return self._size
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp without zone (session zone UTC)."""
     col = F.col(ts) if isinstance(ts, str) else ts
@@ -50,14 +69,14 @@ class Panel:
         df: DataFrame,
         keys: Iterable[str],
         group_rows: int = GROUP_ROWS,
-        size: Size | None = None,
+        measure: Measure | None = None,
         broadcast_series: int = BROADCAST_SERIES,
     ):
         self.df = df
         self.keys = list(keys)
         self.group_rows = group_rows
         self.broadcast_series = broadcast_series
-        self._size = size
+        self.measure = measure or Measure(df, self.keys)
 
     @classmethod
     def of(
@@ -80,27 +99,15 @@ class Panel:
         ]
         return cls(df.select(*columns), names or ["series"], group_rows)
 
-    def derive(self, df: DataFrame, keep_size: bool = True, keys: Iterable[str] | None = None) -> Panel:
-        """A panel over another frame. ``keep_size`` when no series gains rows."""
-        return Panel(
-            df,
-            self.keys if keys is None else keys,
-            self.group_rows,
-            self._size if keep_size else None,
-            self.broadcast_series,
-        )
+    def derive(self, df: DataFrame, keep_size: bool = True, size: Size | None = None) -> Panel:
+        """A panel over another frame. ``keep_size`` when no series gains rows: the
+        parent's count then stands as the upper bound and is taken at most once."""
+        measure = self.measure if keep_size and size is None else Measure(df, self.keys, size)
+        return Panel(df, self.keys, self.group_rows, measure, self.broadcast_series)
 
     @property
     def size(self) -> Size:
-        if self._size is None:
-            row = (
-                self.df.groupBy(*self.keys)
-                .agg(F.count("*").alias("n"))
-                .agg(F.count("*").alias("series"), F.max("n").alias("largest"))
-                .first()
-            )
-            self._size = Size(row["series"], row["largest"] or 0)
-        return self._size
+        return self.measure.size
 
     @property
     def split(self) -> bool:

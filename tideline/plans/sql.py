@@ -64,52 +64,57 @@ trend AS (SELECT k,
        FROM t1 JOIN t2 USING (k))"""
 
 
-def decomposition(period: int, multiplicative: bool = False) -> str:
-    """Classical decomposition into ``dec(k, ts, pos, value, trend, seasonal, resid)``."""
-    half, inner = period // 2, (period - 1) // 2
-    ends = (
-        f" + 0.5 * (lag(value, {half}) OVER w + lead(value, {half}) OVER w)" if period % 2 == 0 else ""
-    )
+def decomposition(period: int | None = None, multiplicative: bool = False) -> str:
+    """Classical decomposition into ``dec(k, ts, pos, value, trend, seasonal, resid)``;
+    without a period each series takes that of its frequency."""
     ratio = "(min(value) OVER (PARTITION BY k)) > 0" if multiplicative else "FALSE"
+    source = f"(SELECT *, {period}::BIGINT AS period FROM v)" if period else "v JOIN frequency USING (k)"
+    head = "pos >= half AND pos < least(half + period, n - 1 - half)"
+    tail = "pos >= greatest(half, n - 1 - half - period) AND pos < n - 1 - half"
     return f"""
-d0 AS (SELECT *, {ratio} AS ratio FROM v WHERE n >= {2 * period}),
-d1 AS (SELECT *, CASE WHEN pos BETWEEN {half} AND n - 1 - {half} THEN
-             (sum(value) OVER (w ROWS BETWEEN {inner} PRECEDING AND {inner} FOLLOWING){ends}) / {period} END AS ma
+d0 AS (SELECT k, ts, value, pos, n, period, period // 2 AS half, {ratio} AS ratio FROM {source}
+       WHERE n >= 2 * period),
+d1 AS (SELECT *, CASE WHEN pos BETWEEN half AND n - 1 - half THEN
+             (sum(value) OVER (w ROWS BETWEEN ((period - 1) // 2) PRECEDING AND ((period - 1) // 2) FOLLOWING)
+              + CASE WHEN period % 2 = 0
+                     THEN 0.5 * (lag(value, half) OVER w + lead(value, half) OVER w) ELSE 0 END) / period END AS ma
        FROM d0 WINDOW w AS (PARTITION BY k ORDER BY pos)),
-d2 AS (SELECT k,
-       regr_slope(ma, pos) FILTER (pos >= {half} AND pos < least({half + period}, n - 1 - {half})) AS hk,
-       regr_intercept(ma, pos) FILTER (pos >= {half} AND pos < least({half + period}, n - 1 - {half})) AS hb,
-       regr_slope(ma, pos) FILTER (pos >= greatest({half}, n - 1 - {half + period}) AND pos < n - 1 - {half}) AS tk,
-       regr_intercept(ma, pos) FILTER (pos >= greatest({half}, n - 1 - {half + period}) AND pos < n - 1 - {half}) AS tb
+d2 AS (SELECT k, regr_slope(ma, pos) FILTER ({head}) AS hk, regr_intercept(ma, pos) FILTER ({head}) AS hb,
+       regr_slope(ma, pos) FILTER ({tail}) AS tk, regr_intercept(ma, pos) FILTER ({tail}) AS tb
        FROM d1 GROUP BY k),
-d3 AS (SELECT d1.*, CASE WHEN pos < {half} THEN hk * pos + hb WHEN pos > n - 1 - {half} THEN tk * pos + tb
+d3 AS (SELECT d1.*, CASE WHEN pos < half THEN hk * pos + hb WHEN pos > n - 1 - half THEN tk * pos + tb
              ELSE ma END AS trend
        FROM d1 JOIN d2 USING (k)),
-d4 AS (SELECT k, pos % {period} AS phase, avg(CASE WHEN ratio THEN value / trend ELSE value - trend END) AS m
+d4 AS (SELECT k, pos % period AS phase, avg(CASE WHEN ratio THEN value / trend ELSE value - trend END) AS m
        FROM d3 GROUP BY 1, 2),
 d5 AS (SELECT k, phase, m, avg(m) OVER (PARTITION BY k) AS c FROM d4),
 d6 AS (SELECT d3.*, CASE WHEN ratio THEN m / c ELSE m - c END AS seasonal
-       FROM d3 JOIN d5 ON d3.k = d5.k AND d3.pos % {period} = d5.phase),
+       FROM d3 JOIN d5 ON d3.k = d5.k AND d3.pos % d3.period = d5.phase),
 dec AS (SELECT k, ts, pos, value, trend, seasonal,
              CASE WHEN ratio THEN value / seasonal / trend ELSE value - seasonal - trend END AS resid
        FROM d6)"""
 
 
-def autocorrelation(lags: int) -> str:
+def autocorrelation(lags: int | None = None) -> str:
+    """Lags ``0..lags``, or three periods of each series' frequency."""
+    wanted = (
+        f"(SELECT DISTINCT k, unnest(range(0, {lags + 1})) AS lag FROM v)"
+        if lags
+        else "(SELECT k, unnest(range(0, 3 * period + 1)) AS lag FROM frequency)"
+    )
     return f"""
 c0 AS (SELECT k, pos, n, value - avg(value) OVER (PARTITION BY k) AS y FROM v),
 c1 AS (SELECT a.k, any_value(a.n) AS n, l.lag, sum(a.y * b.y) AS s
-       FROM (SELECT unnest(range(0, {lags + 1})) AS lag) l, c0 a JOIN c0 b ON a.k = b.k AND b.pos = a.pos + l.lag
+       FROM {wanted} l JOIN c0 a ON a.k = l.k JOIN c0 b ON a.k = b.k AND b.pos = a.pos + l.lag
        GROUP BY a.k, l.lag),
 ac AS (SELECT k, n, lag, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY k) AS acf FROM c1)"""
 
 
-def seasonality(period: int) -> str:
-    """Needs the pieces ``frequency``, ``decomposition`` and ``autocorrelation`` for this period."""
-    return f"""
+# Needs ``frequency``, and ``dec`` and ``ac`` at the period of each series.
+SEASONALITY = """
 s1 AS (SELECT k, stddev_pop(seasonal) / greatest(stddev_pop(value), 1e-9) AS strength FROM dec GROUP BY k),
-s2 AS (SELECT k, max(abs(acf)) AS peak FROM ac
-       WHERE lag BETWEEN {period} AND least({3 * period}, n // 2) GROUP BY k),
+s2 AS (SELECT k, max(abs(acf)) AS peak FROM ac JOIN (SELECT k, period FROM frequency) USING (k)
+       WHERE lag BETWEEN period AND least(3 * period, n // 2) GROUP BY k),
 s3 AS (SELECT k, strength, peak, strength * 0.6 + peak * 0.4 AS score FROM s1 JOIN s2 USING (k)),
 season AS (SELECT f.k,
        CASE WHEN score IS NULL THEN 'Unknown' WHEN score >= 0.70 THEN 'Strong' WHEN score >= 0.45 THEN 'Moderate'
@@ -117,7 +122,7 @@ season AS (SELECT f.k,
        CASE WHEN f.points >= 20 THEN period END AS seasonal_period,
        coalesce(round(strength, 3), 0) AS seasonal_strength, coalesce(round(peak, 3), 0) AS acf_peak,
        coalesce(round(least(score * 100, 100), 1), 0) AS seasonality_confidence
-       FROM frequency f LEFT JOIN s3 ON f.k = s3.k AND f.period = {period})"""
+       FROM frequency f LEFT JOIN s3 ON f.k = s3.k)"""
 
 
 QUALITY = """

@@ -47,19 +47,12 @@ def decompose_multiplicative(spark: SparkSession, folder: str) -> DataFrame:
     return _decomposed(stats.decompose(tables.priority_monthly(spark, folder), 12, "multiplicative"))
 
 
-def _season_pieces(period: int) -> list[str]:
-    return [
-        sql.NUMBERED,
-        sql.FREQUENCY,
-        sql.decomposition(period),
-        sql.autocorrelation(3 * period),
-        sql.seasonality(period),
-    ]
+_SEASON = [sql.NUMBERED, sql.FREQUENCY, sql.decomposition(), sql.autocorrelation(), sql.SEASONALITY]
 
 
 @query(
-    f"SELECT * FROM ({sql.with_(tables.PRIORITY_DAILY, *_season_pieces(7), select='SELECT * FROM season')}) UNION ALL "
-    f"SELECT * FROM ({sql.with_(tables.EVENT_HOURLY, *_season_pieces(24), select='SELECT * FROM season')})"
+    f"SELECT * FROM ({sql.with_(tables.PRIORITY_DAILY, *_SEASON, select='SELECT * FROM season')}) UNION ALL "
+    f"SELECT * FROM ({sql.with_(tables.EVENT_HOURLY, *_SEASON, select='SELECT * FROM season')})"
 )
 def seasonality(spark: SparkSession, folder: str) -> DataFrame:
     daily = stats.detect_seasonality(tables.priority_daily(spark, folder))
@@ -107,7 +100,7 @@ def signal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return stats.signal_quality(tables.gappy_hourly(spark, folder))
 
 
-_ANALYSIS = [*_season_pieces(7), sql.TREND, sql.QUALITY, sql.ANALYSIS]
+_ANALYSIS = [*_SEASON, sql.TREND, sql.QUALITY, sql.ANALYSIS]
 
 
 @query(
