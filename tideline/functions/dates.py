@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Spellings of a missing entry.
 NULL_MARKERS = ["", "nan", "None", "NULL", "null", "NaT"]
 
-# Years a nanosecond timestamp can hold in full.
-FIRST_YEAR, LAST_YEAR = 1678, 2261
+# The first and last second a nanosecond timestamp can hold.
+FIRST_STAMP, LAST_STAMP = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 
 EXCEL_EPOCH = "1899-12-30"
 DAY_MICROS = 86_400_000_000
@@ -19,6 +19,13 @@ def _try_format(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
+def _in_range(stamp: Column) -> Column:
+    """The stamp without zone, or NULL outside the range time series are kept in."""
+    plain = stamp.cast("timestamp_ntz")
+    first, last = (F.lit(edge).cast("timestamp_ntz") for edge in (FIRST_STAMP, LAST_STAMP))
+    return F.when(plain.between(first, last), plain)
+
+
 def trimmed(text: Column) -> Column:
     clean = F.trim(text)
     return F.when(~clean.isin(NULL_MARKERS), clean)
@@ -35,7 +42,6 @@ def text_to_time(text: Column, dayfirst: bool = False) -> Column:
     day_first = _try_format(slashed, "d/M/yyyy[ H:mm[:ss]]")
     numeric_order = [day_first, month_first] if dayfirst else [month_first, day_first]
     worded = F.regexp_replace(s, ",", "")
-    year = F.substring(s, 1, 4).try_cast("int")
     parsed = (
         F.when(s.rlike(r"^\d{4}$"), _try_format(s, "yyyy"))
         .when(s.rlike(r"^\d{8}$"), _try_format(s, "yyyyMMdd"))
@@ -51,9 +57,7 @@ def text_to_time(text: Column, dayfirst: bool = False) -> Column:
             F.coalesce(_try_format(s, "d MMM yyyy"), _try_format(s, "d MMMM yyyy")),
         )
     )
-    bare = s.rlike(r"^\d{4}$") | s.rlike(r"^\d{8}$")
-    in_range = ~bare | year.between(FIRST_YEAR, LAST_YEAR)
-    return F.when(in_range, parsed).cast("timestamp_ntz")
+    return _in_range(parsed)
 
 
 def number_to_time(value: Column, unit: str) -> Column:
@@ -65,8 +69,7 @@ def number_to_time(value: Column, unit: str) -> Column:
     else:
         scale = {"s": 1e6, "ms": 1e3}[unit]
         us = F.round(v * F.lit(scale)).try_cast("bigint")
-    stamp = F.timestamp_micros(us)
-    return F.when(F.year(stamp).between(FIRST_YEAR, LAST_YEAR), stamp).cast("timestamp_ntz")
+    return _in_range(F.timestamp_micros(us))
 
 
 def number_unit(median: float | None, filled: float) -> str | None:

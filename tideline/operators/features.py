@@ -88,11 +88,13 @@ def all_features(panel: Panel, lags: int = 3, window: int = 7, diff: int = 1) ->
 def centred_mean(panel: Panel, counts: DataFrame) -> DataFrame:
     """Add ``smooth``: the centred rolling mean over ``max(5, n // 25)`` rows.
 
-    ``counts`` gives ``n`` and the mean ``_mean`` per series. Because the frame
+    ``counts`` gives ``n`` and the mean ``_mean`` per series; sums run on distances from
+    the rounded mean, which keeps them small and, for whole numbers, exact. Because the frame
     differs per series, each value is entered where it joins the frame and taken out
     where it leaves, and one running sum gives every frame total."""
     width = F.greatest(F.lit(5), F.floor(F.col("n") / 25))
     back, ahead = F.floor(width / 2), F.floor((width - 1) / 2)
+    counts = counts.withColumn("_mean", F.round("_mean"))
     off = F.col("value") - F.col("_mean")
     entry = lambda at, value, total, count: F.struct(
         at.cast("long").alias("at"), value.alias("own"), total.alias("total"), count.alias("count")

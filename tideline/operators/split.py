@@ -29,7 +29,8 @@ def positions(panel: Panel, name: str = "pos") -> DataFrame:
         return panel.df.withColumn(name, (F.row_number().over(panel.window) - 1).cast("long"))
 
     keys = panel.keys
-    bin_name = f"_bin{len(keys)}"
+    depth = len(keys)
+    bin_name, inner_name, offset_name = f"_bin{depth}", f"_inner{depth}", f"_offset{depth}"
     span = panel.df.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min(micros("ts")).alias("_lo"), F.max(micros("ts")).alias("_hi")
     )
@@ -44,17 +45,17 @@ def positions(panel: Panel, name: str = "pos") -> DataFrame:
     by_bin = Panel(rows, [*keys, bin_name], panel.group_rows, broadcast_series=panel.broadcast_series)
     bins = rows.groupBy(*keys, bin_name).agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bins.select(*keys, bin_name, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    offsets = bins.select(*keys, bin_name, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias(offset_name))
     # A bin can still be too full when stamps crowd together: cut it again the same way.
     if by_bin.size.largest < panel.size.largest:
-        numbered = positions(by_bin, "_inner")
+        numbered = positions(by_bin, inner_name)
     else:
         inner = Window.partitionBy(*keys, bin_name).orderBy("ts")
-        numbered = rows.withColumn("_inner", (F.row_number().over(inner) - 1).cast("long"))
+        numbered = rows.withColumn(inner_name, (F.row_number().over(inner) - 1).cast("long"))
     return (
         numbered.join(offsets, [*keys, bin_name])
-        .withColumn(name, (F.col("_offset") + F.col("_inner")).cast("long"))
-        .drop("_offset", "_inner", bin_name)
+        .withColumn(name, (F.col(offset_name) + F.col(inner_name)).cast("long"))
+        .drop(offset_name, inner_name, bin_name)
     )
 
 

@@ -210,7 +210,7 @@ def detect_seasonality(panel: Panel, frequency: DataFrame | None = None) -> Data
             (F.stddev_pop("seasonal") / F.greatest(F.stddev_pop("value"), F.lit(1e-9))).alias("strength")
         )
         reach = F.least(F.lit(3 * period), F.floor(F.col("n") / 2)).cast("int")
-        late = F.slice("acf", period + 1, reach - period + 1)
+        late = F.slice("acf", period + 1, F.greatest(reach - period + 1, F.lit(0)))
         peak = F.array_max(F.transform(late, lambda v: F.abs(v)))
         peaks = autocorrelations(group, 3 * period).select(*keys, peak.alias("peak"))
         parts.append(seasonal.join(peaks, keys))

@@ -277,7 +277,10 @@ def parse_text_time(spark: SparkSession, folder: str) -> DataFrame:
 
 def _time_scores_sql() -> str:
     def year(c: str) -> str:
-        return f"CASE WHEN {c} BETWEEN 1678 AND 2261 THEN make_timestamp({c}, 1, 1, 0, 0, 0) END"
+        median = f"(SELECT median({c}) FROM orders)"
+        return f"""CASE WHEN {median} > 20000 AND {median} < 90000
+            THEN CASE WHEN {c} <= 132320 THEN TIMESTAMP '1899-12-30' + to_days({c}::INT) END
+            WHEN {c} BETWEEN 1678 AND 2262 THEN make_timestamp({c}, 1, 1, 0, 0, 0) END"""
 
     columns = {
         "o_orderkey": year("o_orderkey"),
