@@ -44,23 +44,25 @@ def step_period(code: Column) -> Column:
     return _lookup(code, {k: period for k, (_, period) in STEPS.items()})
 
 
-def advance(start: Column, code: Column, count: Column) -> Column:
-    """The stamp ``count`` steps after ``start``; month ends stay month ends."""
+def advance(start: Column, code: Column, count: Column, month_ends: Column | None = None) -> Column:
+    """The stamp ``count`` steps after ``start``; with ``month_ends`` on the last day of its month."""
     fixed = _lookup(code, FIXED_STEPS)
     months = _lookup(code, MONTH_STEPS)
     day_part = F.date_trunc("day", start).cast("timestamp_ntz")
     clock = micros(start) - micros(day_part)
-    moved = F.add_months(start.cast("date"), (months * count).cast("int")).cast("timestamp_ntz")
+    moved = F.add_months(start.cast("date"), (months * count).cast("int"))
+    if month_ends is not None:
+        moved = F.when(month_ends, F.last_day(moved)).otherwise(moved)
     return F.when(fixed.isNotNull(), from_micros(micros(start) + fixed * count)).otherwise(
-        from_micros(micros(moved) + clock)
+        from_micros(micros(moved.cast("timestamp_ntz")) + clock)
     )
 
 
-def steps_between(start: Column, end: Column, code: Column) -> Column:
+def steps_between(start: Column, end: Column, code: Column, month_ends: Column | None = None) -> Column:
     """Whole steps from ``start`` up to at most ``end``."""
     fixed = _lookup(code, FIXED_STEPS)
     months = _lookup(code, MONTH_STEPS)
     apart = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
     rough = F.floor(apart / months).cast("long")
-    whole = F.when(advance(start, code, rough) > end, rough - 1).otherwise(rough)
+    whole = F.when(advance(start, code, rough, month_ends) > end, rough - 1).otherwise(rough)
     return F.when(fixed.isNotNull(), F.floor((micros(end) - micros(start)) / fixed)).otherwise(whole).cast("long")

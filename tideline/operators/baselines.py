@@ -119,8 +119,10 @@ def future_dates(panel: Panel, steps: int, frequency: DataFrame | None = None) -
     """``steps`` stamps after the last one of each series; irregular series step by days."""
     frequency = detect_frequency(panel) if frequency is None else frequency
     code = F.when(F.col("code").isin(list(STEPS)), F.col("code")).otherwise("D")
-    ahead = frequency.select(*panel.keys, "last_ts", code.alias("_code"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
-    return ahead.select(*panel.keys, "step", advance(F.col("last_ts"), F.col("_code"), F.col("step")).alias("ts"))
+    each = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    ahead = frequency.select(*panel.keys, "last_ts", "month_ends", code.alias("_code"), each)
+    stamp = advance(F.col("last_ts"), F.col("_code"), F.col("step"), F.col("month_ends"))
+    return ahead.select(*panel.keys, "step", stamp.alias("ts"))
 
 
 def baseline_future(panel: Panel, steps: int, models: list[str] = MODELS[:2], dates: DataFrame | None = None) -> DataFrame:

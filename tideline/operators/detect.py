@@ -159,7 +159,8 @@ def detect_target_column(df: DataFrame) -> str | None:
 
 
 def detect_frequency(panel: Panel) -> DataFrame:
-    """Per series: ``code, frequency, period, median_gap`` (seconds) and first/last stamp.
+    """Per series: ``code, frequency, period, median_gap`` (seconds), first and last stamp,
+    and whether every stamp is the last day of a month.
 
     Exact minute, day and month-start grids are recognised first; otherwise the
     median gap is banded. Exact grids report no gap."""
@@ -182,6 +183,7 @@ def detect_frequency(panel: Panel) -> DataFrame:
             "_month_starts": F.max(F.dayofmonth("ts")) == 1,
             "_clocks": F.max("_clock") - F.min("_clock"),
             "_month_step": F.when(F.min("_months") == F.max("_months"), F.min("_months")),
+            "month_ends": F.min(F.last_day("ts") == F.col("ts").cast("date")),
             "first_ts": F.min("ts"),
             "last_ts": F.max("ts"),
         },
@@ -210,6 +212,7 @@ def detect_frequency(panel: Panel) -> DataFrame:
         step_name(code).alias("frequency"),
         step_period(code).alias("period"),
         seconds.alias("median_gap"),
+        "month_ends",
         "first_ts",
         "last_ts",
     )

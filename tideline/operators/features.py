@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.split import over_rows, positions, running_sums
-from tideline.panel import Panel
+from tideline.panel import Panel, Size
 
 
 def _rolling(window: int) -> dict:
@@ -106,14 +106,12 @@ def centred_mean(panel: Panel, counts: DataFrame) -> DataFrame:
     moves = panel.attach(positions(panel), counts).select(
         *panel.keys, "n", "_mean", F.inline(F.filter(F.array(joins, leaves, centre), lambda e: e.isNotNull()))
     )
-    steps = moves.groupBy(*panel.keys, "at").agg(
-        F.max("own").alias("value"),
-        F.sum("total").alias("total"),
-        F.sum("count").alias("count"),
-        F.first("n").alias("n"),
-        F.first("_mean").alias("_mean"),
-    )
-    summed = running_sums(panel.derive(steps), {"_sum": "total", "_rows": "count"}, order="at")
-    return summed.select(
-        *panel.keys, F.col("at").alias("pos"), "value", (F.col("_mean") + F.col("_sum") / F.col("_rows")).alias("smooth")
+    longest = panel.size
+    entries = panel.derive(moves, size=Size(longest.series, 3 * longest.largest))
+    summed = running_sums(entries, {"_sum": "total", "_rows": "count"}, order="at")
+    return summed.where(F.col("own").isNotNull()).select(
+        *panel.keys,
+        F.col("at").alias("pos"),
+        F.col("own").alias("value"),
+        (F.col("_mean") + F.col("_sum") / F.col("_rows")).alias("smooth"),
     )

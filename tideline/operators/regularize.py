@@ -55,15 +55,15 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     the grid, so later steps need not number the rows again."""
     keys = panel.keys
     frequency = settle(detect_frequency(panel) if frequency is None else frequency)
-    steps = frequency.select(*keys, "code", "frequency", "first_ts", "last_ts")
-    code = F.col("code")
+    steps = frequency.select(*keys, "code", "frequency", "month_ends", "first_ts", "last_ts")
+    code, first, final, ends = F.col("code"), F.col("first_ts"), F.col("last_ts"), F.col("month_ends")
     stepped = code.isin(list(STEPS))
-    longest = frequency.where(stepped).agg(F.max(steps_between(F.col("first_ts"), F.col("last_ts"), code))).first()[0]
+    longest = frequency.where(stepped).agg(F.max(steps_between(first, final, code, ends))).first()[0]
     size = Size(panel.size.series, max(panel.size.largest, (longest or 0) + 1))
-    place = F.when(stepped, steps_between(F.col("first_ts"), F.col("ts"), code))
+    place = F.when(stepped, steps_between(first, F.col("ts"), code, ends))
     rows = panel.attach(panel.df, steps).withColumn("_place", place)
-    on_grid = ~stepped | code.isNull() | (advance(F.col("first_ts"), code, F.col("_place")) == F.col("ts"))
-    last = F.when(stepped, steps_between(F.col("first_ts"), F.col("last_ts"), code))
+    on_grid = ~stepped | code.isNull() | (advance(first, code, F.col("_place"), ends) == F.col("ts"))
+    last = F.when(stepped, steps_between(first, final, code, ends))
     rows = rows.withColumns({"_on": on_grid, "_last": last})
 
     per_series = rows.groupBy(*keys).agg(
@@ -91,7 +91,7 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     )
     opened = spaced.withColumn("_at", F.explode(places))
     own = F.col("_at").isNull() | (F.col("_at") == F.col("_place"))
-    stamp = F.when(own, F.col("ts")).otherwise(advance(F.col("first_ts"), code, F.col("_at")))
+    stamp = F.when(own, F.col("ts")).otherwise(advance(first, code, F.col("_at"), ends))
     placed = [F.coalesce("_at", "pos").alias("pos")] if "pos" in panel.df.columns else []
     filled = opened.select(
         *keys, stamp.alias("ts"), F.when(own, F.col("value")).alias("value"), own.alias("observed"), *placed

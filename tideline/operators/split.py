@@ -93,17 +93,17 @@ def over_rows(
 
 
 def running_sums(panel: Panel, sums: dict[str, str], order: str = "pos") -> DataFrame:
-    """Replace nothing, add running totals: ``{new column: summed column}``.
+    """Add running totals ``{new column: summed column}`` along an integer column.
 
-    Rows carry an integer column ``order`` that is unique inside a series."""
+    Rows that share a place all get the total up to and including that place."""
     keys = panel.keys
     upto = (Window.unboundedPreceding, Window.currentRow)
     if not panel.split:
-        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
+        window = Window.partitionBy(*keys).orderBy(order).rangeBetween(*upto)
         return panel.df.withColumns({new: F.sum(old).over(window) for new, old in sums.items()})
 
     rows = panel.df.withColumn("_chunk", F.floor(F.col(order) / panel.group_rows).cast("long"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(*upto)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rangeBetween(*upto)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
     carried = totals.select(

@@ -11,7 +11,8 @@ from tideline.operators.features import centred_mean
 from tideline.operators.quantile import summarise
 from tideline.operators.regularize import iqr_bounds
 from tideline.operators.split import chunk_arrays, over_rows, positions
-from tideline.panel import Panel
+from tideline.panel import Panel, Size
+from tideline.session import settle
 
 UNKNOWN = "Unknown"
 
@@ -198,7 +199,7 @@ def detect_seasonality(panel: Panel, frequency: DataFrame | None = None) -> Data
     frequency implies. At most one pass per distinct period (there are seven)."""
     keys = panel.keys
     known = panel.known()
-    frequency = detect_frequency(panel) if frequency is None else frequency
+    frequency = settle(detect_frequency(panel)) if frequency is None else frequency
     periods = count_known(panel).join(frequency.select(*keys, "period"), keys, "left")
     usable = periods.where((F.col("n") >= 20) & (F.col("n") >= 2 * F.col("period")))
     present = [r["period"] for r in usable.select("period").distinct().collect()]
@@ -258,19 +259,21 @@ def adf_sums(panel: Panel) -> DataFrame:
     sums = lagged_sums(rows, ["y", "d"], reach, [("y", "y"), ("y", "d"), ("d", "y"), ("d", "d")])
     item = F.struct("pos", "y", "d")
     border = reach + 2
-    edge = (F.col("pos") < border) | (F.col("pos") >= F.col("n") - border)
-    ends = rows.df.where(edge).groupBy(*keys).agg(
+    ends = rows.df.groupBy(*keys).agg(
         F.first("n").alias("n"),
+        F.sum("y").alias("sum_y"),
+        F.sum("d").alias("sum_d"),
         F.sort_array(F.collect_list(F.when(F.col("pos") < border, item))).alias("_head"),
         F.sort_array(F.collect_list(F.when(F.col("pos") >= F.col("n") - border, item))).alias("_tail"),
     )
     ends = ends.select(
         *keys,
         "n",
+        "sum_y",
+        "sum_d",
         *[F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("head", "tail") for c in ("y", "d")],
     )
-    totals = rows.df.groupBy(*keys).agg(F.sum("y").alias("sum_y"), F.sum("d").alias("sum_d"))
-    return sums.join(ends, keys).join(totals, keys)
+    return sums.join(ends, keys)
 
 
 def adf_lags(n: int) -> int:
@@ -285,11 +288,25 @@ def check_stationarity(panel: Panel) -> DataFrame:
     keys = panel.keys
     levels = panel.known()
     first = over_rows(levels, 1, 0, {"_change": lambda w: F.col("value") - F.lag("value").over(w)})
-    changes = levels.derive(first.withColumn("value", F.col("_change")).drop("_change"))
-    test = lambda p: adf_sums(p).select(*keys, adf_from_sums().alias("_t")).select(*keys, "_t.*")
-    at_level = test(levels).withColumnsRenamed({"statistic": "_s0", "p_value": "_p0", "lag": "_l0"})
-    at_change = test(changes).select(*keys, F.col("p_value").alias("_p1"))
-    joined = count_known(panel).join(at_level, keys, "left").join(at_change, keys, "left")
+    # Levels and changes are tested together, as two series told apart by one more key.
+    both = first.select(
+        *keys,
+        "ts",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("_changed"), F.col("value").alias("value")),
+                F.struct(F.lit(1).alias("_changed"), F.col("_change").alias("value")),
+            )
+        ),
+    )
+    size = levels.size
+    pair = levels.derive(both, size=Size(2 * size.series, size.largest), keys=[*keys, "_changed"])
+    tests = adf_sums(pair).select(*keys, "_changed", adf_from_sums().alias("_t"))
+    of = lambda changed, field: F.max(F.when(F.col("_changed") == changed, F.col(f"_t.{field}")))
+    wide = tests.groupBy(*keys).agg(
+        of(0, "statistic").alias("_s0"), of(0, "p_value").alias("_p0"), of(1, "p_value").alias("_p1")
+    )
+    joined = count_known(panel).join(wide, keys, "left")
     usable = (F.col("n") >= 20) & F.col("_p0").isNotNull()
     stationary = F.coalesce(usable & (F.col("_p0") < 0.05), F.lit(False))
     failed = usable & ~stationary & F.col("_p1").isNull()
@@ -352,7 +369,7 @@ def signal_quality(panel: Panel) -> DataFrame:
 def analyze_series(panel: Panel) -> DataFrame:
     """Trend, seasonality and quality merged, with a model recommendation and a readiness grade."""
     keys = panel.keys
-    frequency = detect_frequency(panel)
+    frequency = settle(detect_frequency(panel))
     merged = (
         detect_trend(panel)
         .join(detect_seasonality(panel, frequency), keys)

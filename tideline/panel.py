@@ -99,11 +99,14 @@ class Panel:
         ]
         return cls(df.select(*columns), names or ["series"], group_rows)
 
-    def derive(self, df: DataFrame, keep_size: bool = True, size: Size | None = None) -> Panel:
+    def derive(
+        self, df: DataFrame, keep_size: bool = True, size: Size | None = None, keys: Iterable[str] | None = None
+    ) -> Panel:
         """A panel over another frame. ``keep_size`` when no series gains rows: the
         parent's count then stands as the upper bound and is taken at most once."""
-        measure = self.measure if keep_size and size is None else Measure(df, self.keys, size)
-        return Panel(df, self.keys, self.group_rows, measure, self.broadcast_series)
+        names = self.keys if keys is None else list(keys)
+        measure = self.measure if keep_size and size is None else Measure(df, names, size)
+        return Panel(df, names, self.group_rows, measure, self.broadcast_series)
 
     @property
     def size(self) -> Size:
