@@ -3,12 +3,15 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from series import frame, panel, rows, season
 
 from tideline.operators import detect, features, schema
 from tideline.operators import regularize as reg
 from tideline.operators.baselines import future_dates, split_train_test
+from tideline.operators.split import open_range
 from tideline.panel import Panel
+from tideline.sources import files
 
 
 def code(spark, stamps):
@@ -59,6 +62,15 @@ def test_month_ends_from_a_short_month_stay_on_the_grid(spark):
     assert (report["off_grid_rows"], report["missing_dates_filled"], report["final_rows"]) == (0, 0, 14)
 
 
+def test_a_long_gap_is_opened_in_blocks(spark):
+    stamps = list(pd.date_range("2024-01-01", periods=50, freq="min")) + [pd.Timestamp("2024-05-30")]
+    pdf = pd.DataFrame({"k": "a", "ts": stamps, "value": 1.0})
+    grid = reg.to_grid(panel(spark, pdf)).panel.df
+    assert (grid.count(), grid.select("ts").distinct().count()) == (150 * 24 + 1, 150 * 24 + 1)
+    wide = open_range(spark.createDataFrame([(3, 150_002), (None, None)], "a long, b long"), F.col("a"), F.col("b"), "at")
+    assert (wide.count(), wide.agg(F.countDistinct("at")).first()[0]) == (150_001, 150_000)
+
+
 def test_off_grid_rows_are_counted(spark):
     stamps = list(pd.date_range("2024-01-01", periods=10)) + [pd.Timestamp("2024-01-03 07:00")]
     pdf = pd.DataFrame({"k": "a", "ts": stamps, "value": 1.0, "tie": 0})
@@ -173,6 +185,28 @@ def test_empty_and_structured(spark):
     assert schema.is_structured(sparse).first()["structured"] is False
 
 
+def test_rows_without_a_key_stay(spark):
+    pdf = frame({"a": season(30, 7)}).assign(k=[None if i % 3 == 0 else "a" for i in range(30)])
+    p = Panel.of(spark.createDataFrame(pdf), "ts", "value", ["k"])
+    counts = {r["k"]: r["n"] for r in reg.zscore(p).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"a": 20, "(none)": 10}
+
+
+def test_text_files_lose_only_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"good \xff\xfe text\nsecond line" + b"x" * 12_000)
+    row = files.text_preview(files.read_text(spark, str(tmp_path))).first()
+    assert row["value"].startswith("good  text\nsecond line") and len(row["preview"]) == 10_000
+
+
+def test_single_series_plans_have_no_cross_join(spark):
+    from tideline.operators.stats import analyze_series
+
+    df = spark.createDataFrame(frame({"a": season(90, 7)}))
+    for rows_per_task in (1000, 20):
+        plan = analyze_series(Panel.of(df, "ts", "value", group_rows=rows_per_task))._jdf.queryExecution().executedPlan()
+        assert "CartesianProduct" not in plan.toString() and "NestedLoop" not in plan.toString()
+
+
 def test_panel_without_keys(spark):
     df = spark.createDataFrame(frame({"a": season(40, 7)}))
     found = detect.detect_frequency(Panel.of(df, "ts", "value")).first()

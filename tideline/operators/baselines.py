@@ -105,7 +105,8 @@ def leaderboard(scores: DataFrame, keys: list[str]) -> DataFrame:
     }
     rows = rows.withColumns(ranks)
     total = F.col("rmse_rank") + F.col("mae_rank") + F.col("mape_rank") + F.col("r2_rank")
-    ordinal = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    known = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    ordinal = F.when(known > 0, known).otherwise(len(MODELS) + 1)
     rows = rows.withColumn("overall_score", total)
     place = F.row_number().over(per.orderBy("overall_score", ordinal, "model"))
     return rows.withColumn("place", place)

@@ -18,7 +18,7 @@ TREES = 100
 SAMPLE = 256
 SEED = 42
 POOL = TREES * SAMPLE
-PIECE_ROWS = 200_000
+PIECE_ROWS = 1_000_000  # rows one task looks up at once
 
 
 def _path_excess(n):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.steps import STEPS, advance, steps_between
 from tideline.operators.detect import detect_frequency
 from tideline.operators.quantile import summarise
-from tideline.operators.split import nearest_known, over_rows, positions
+from tideline.operators.split import nearest_known, open_range, over_rows, positions
 from tideline.panel import Panel, Size, micros
 from tideline.session import settle
 
@@ -86,10 +86,7 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     kept = panel.derive(rows.where("_on").drop("_on"))
     spaced = over_rows(kept, 0, 1, {"_following": lambda w: F.lead("_place").over(w)})
     until = F.coalesce(F.col("_following"), F.col("_last") + 1) - 1
-    places = F.when(stepped, F.sequence(F.col("_place"), until)).otherwise(
-        F.array(F.lit(None).cast("long"))
-    )
-    opened = spaced.withColumn("_at", F.explode(places))
+    opened = open_range(spaced, F.col("_place"), until, "_at")
     own = F.col("_at").isNull() | (F.col("_at") == F.col("_place"))
     stamp = F.when(own, F.col("ts")).otherwise(advance(first, code, F.col("_at"), ends))
     placed = [F.coalesce("_at", "pos").alias("pos")] if "pos" in panel.df.columns else []

@@ -18,7 +18,7 @@ from tideline.operators.detect import (
 )
 from tideline.operators.quantile import summarise
 from tideline.operators.stats import analyze_series
-from tideline.panel import Panel, number
+from tideline.panel import Panel, number, only_series
 
 # The first group with a word in any column name names the data set.
 DATASET_TYPES = [
@@ -293,5 +293,6 @@ def analyze_dataset(df: DataFrame, date_column: str | None = None, target: str |
         return basics
     stamped = df.withColumn("_ts", time_expressions(df, [date_column])[date_column])
     series = analyze_series(Panel.of(stamped, "_ts", target))
-    joined = basics.withColumn("series", F.lit("all")).withColumnRenamed("missing_percent", "table_missing_percent")
+    joined = basics.withColumn("series", only_series("rows"))
+    joined = joined.withColumnRenamed("missing_percent", "table_missing_percent")
     return joined.join(series, "series").drop("series")

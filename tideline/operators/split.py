@@ -59,6 +59,15 @@ def positions(panel: Panel, name: str = "pos") -> DataFrame:
     )
 
 
+def open_range(df: DataFrame, first: Column, last: Column, name: str, block: int = 65_536) -> DataFrame:
+    """One row per integer from ``first`` to ``last``, opened in blocks so that no array grows
+    with the range. An unknown range gives one row without a number."""
+    blocks = F.when(first.isNotNull(), F.sequence(F.lit(0).cast("long"), F.floor((last - first) / block).cast("long")))
+    start = first + F.col("_block") * block
+    run = F.sequence(start, F.least(start + block - 1, last))
+    return df.withColumn("_block", F.explode_outer(blocks)).withColumn(name, F.explode_outer(run)).drop("_block")
+
+
 def over_rows(
     panel: Panel,
     before: int,

@@ -137,13 +137,11 @@ def decompose(panel: Panel, period: int, model: str = "additive") -> DataFrame:
     means = lined.groupBy(*keys, "_phase").agg(F.avg("_free").alias("_m"), F.first("_ratio").alias("_r"))
     centre = F.avg("_m").over(Window.partitionBy(*keys))
     phases = means.withColumn("seasonal", F.when(F.col("_r"), F.col("_m") / centre).otherwise(F.col("_m") - centre))
-    packed = phases.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_phase", "seasonal"))).alias("_seasons")
-    )
-    seasonal = F.col("_seasons")[F.col("_phase")]
+    placed_phases = phases.select(*keys, "_phase", "seasonal")
+    seasonal = F.col("seasonal")
     resid = F.when(ratio, value / seasonal / F.col("trend")).otherwise(value - seasonal - F.col("trend"))
-    return panel.attach(lined, packed).select(
-        *keys, "ts", "pos", "value", "trend", seasonal.alias("seasonal"), resid.alias("resid")
+    return panel.attach(lined, placed_phases, "_phase", period).select(
+        *keys, "ts", "pos", "value", "trend", "seasonal", resid.alias("resid")
     )
 
 
@@ -283,6 +281,19 @@ def adf_lags(n: int) -> int:
     return int(math.ceil(12.0 * (max(n, 1) / 100.0) ** 0.25))
 
 
+def unit_root_test(panel: Panel, least: int = 10) -> DataFrame:
+    """The bare test on the levels: ``adf_statistic, p_value, stationary`` from ``least`` points on."""
+    keys = panel.keys
+    known = panel.known()
+    tested = adf_sums(known).where(F.col("n") >= least).select(*keys, adf_from_sums().alias("_t"))
+    return tested.where(F.col("_t.p_value").isNotNull()).select(
+        *keys,
+        F.round("_t.statistic", 4).alias("adf_statistic"),
+        F.round("_t.p_value", 4).alias("p_value"),
+        (F.col("_t.p_value") < 0.05).alias("stationary"),
+    )
+
+
 def check_stationarity(panel: Panel) -> DataFrame:
     """Augmented Dickey-Fuller test (constant, lag by AIC) and the differencing it asks for."""
     keys = panel.keys

@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_ROWS = 2_000_000  # rows of one series a single task may sort
 BROADCAST_SERIES = 100_000  # rows of a per-series table that may be broadcast
+NO_KEY = "(none)"
 SALTS = 64  # pieces a series is cut into when a per-series table is too big for that
 
 
@@ -26,6 +28,12 @@ class Size:
     largest: int
 
 
+def only_series(of: Column | str) -> Column:
+    """The key of a table that is one single series: always 0, but tied to a column, so
+    joins on it stay equi-joins instead of being folded into cross joins."""
+    return F.hash(of).bitwiseAND(F.lit(0))
+
+
 class Measure:
     """The size of a frame's series, counted on first use and shared by derived panels."""
 
@@ -88,9 +96,16 @@ class Panel:
         extra: Iterable[str] = (),
         group_rows: int = GROUP_ROWS,
     ) -> Panel:
-        """Project to the panel columns; without keys the whole table is series ``all``."""
+        """Project to the panel columns; without keys the whole table is series 0.
+
+        Rows without a text key form a series of their own, ``(none)``; rows that lack
+        any other key belong to no series and are left out."""
         names = list(keys)
-        key_cols = [F.col(k) for k in names] or [F.lit("all").alias("series")]
+        texts = [k for k in names if isinstance(df.schema[k].dataType, T.StringType)]
+        others = [k for k in names if k not in texts]
+        df = df.dropna(subset=others) if others else df
+        key_cols = [F.coalesce(k, F.lit(NO_KEY)).alias(k) if k in texts else F.col(k) for k in names]
+        key_cols = key_cols or [only_series(ts).alias("series")]
         columns = [
             *key_cols,
             F.col(ts).cast("timestamp_ntz").alias("ts"),
@@ -125,19 +140,21 @@ class Panel:
         """Only rows with both a stamp and a value."""
         return self.derive(self.df.where(F.col("ts").isNotNull() & F.col("value").isNotNull()))
 
-    def attach(self, df: DataFrame, per_series: DataFrame, how: str = "inner") -> DataFrame:
-        """Join one row per series onto many rows per series.
-
-        The number of series is measured, so the broadcast is bounded. Beyond the
-        bound both sides are salted, so the rows of a hot series never meet in one
-        task.
-        """
-        if self.size.series <= self.broadcast_series:
-            return df.join(F.broadcast(per_series), self.keys, how)
+    def attach(
+        self, df: DataFrame, per_series: DataFrame, also: str | None = None, copies: int = 1
+    ) -> DataFrame:
+        """Join narrow rows, one per series, onto many rows per series.
+
+        ``also`` is a further join column with at most ``copies`` values per series. The
+        number of series is measured, so the broadcast is bounded. Beyond the bound both
+        sides are salted, so the rows of a hot series never meet in one task."""
+        on = [*self.keys, also] if also else self.keys
+        if self.size.series * copies <= self.broadcast_series:
+            return df.join(F.broadcast(per_series), on)
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         return (
             df.withColumn("_salt", salt)
-            .join(per_series.withColumn("_salt", salts), [*self.keys, "_salt"], how)
+            .join(per_series.withColumn("_salt", salts), [*on, "_salt"])
             .drop("_salt")
         )

@@ -95,6 +95,11 @@ def stationarity(spark: SparkSession, folder: str) -> DataFrame:
     return daily.unionByName(stats.check_stationarity(tables.event_hourly(spark, folder)))
 
 
+@query()
+def unit_root(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.unit_root_test(tables.priority_monthly(spark, folder))
+
+
 @query(sql.with_(tables.GAPPY_HOURLY, sql.NUMBERED, sql.QUALITY, select="SELECT * FROM quality"))
 def signal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return stats.signal_quality(tables.gappy_hourly(spark, folder))

@@ -31,8 +31,9 @@ def preview(df: DataFrame, order: list[str], rows: int = PREVIEW_ROWS) -> DataFr
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Each file as one row ``(path, value)``."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """Each file as one row ``(path, value)``; bytes that are no UTF-8 are left out."""
+    text = F.translate("value", "\ufffd", "").alias("value")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text)
 
 
 def text_preview(df: DataFrame, column: str = "value", chars: int = PREVIEW_CHARS) -> DataFrame:
