@@ -127,17 +127,23 @@ def running_sums(panel: Panel, sums: dict[str, str], order: str = "pos") -> Data
     )
 
 
+def _both_ways(partition: WindowSpec, order: str, until: int = Window.currentRow) -> tuple[WindowSpec, WindowSpec]:
+    """Everything up to a row, forwards and backwards. Looking ahead is done in falling
+    order: a frame that only grows costs one step per row, one that shrinks restarts."""
+    forwards = partition.orderBy(order).rowsBetween(Window.unboundedPreceding, until)
+    backwards = partition.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, until)
+    return forwards, backwards
+
+
 def nearest_known(panel: Panel, axis: str, order: str = "ts") -> DataFrame:
     """Add ``_prev`` and ``_next``: the nearest row at or before / at or after with a
     value, as ``struct(at, value)`` where ``at`` is the column ``axis``."""
     keys = panel.keys
     here = F.when(F.col("value").isNotNull(), F.struct(F.col(axis).alias("at"), F.col("value").alias("value")))
     if not panel.split:
-        window = Window.partitionBy(*keys).orderBy(order)
-        back = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ahead = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        back, ahead = _both_ways(Window.partitionBy(*keys), order)
         return panel.df.withColumns(
-            {"_prev": F.last(here, ignorenulls=True).over(back), "_next": F.first(here, ignorenulls=True).over(ahead)}
+            {"_prev": F.last(here, ignorenulls=True).over(back), "_next": F.last(here, ignorenulls=True).over(ahead)}
         )
 
     has_pos = "pos" in panel.df.columns
@@ -147,22 +153,20 @@ def nearest_known(panel: Panel, axis: str, order: str = "ts") -> DataFrame:
     ends = rows.groupBy(*keys, "_chunk").agg(
         F.min_by("_here", at).alias("_first"), F.max_by("_here", at).alias("_last")
     )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
+    before, after = _both_ways(Window.partitionBy(*keys), "_chunk", -1)
     carried = ends.select(
         *keys,
         "_chunk",
-        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_last", ignorenulls=True).over(before).alias("_before"),
+        F.last("_first", ignorenulls=True).over(after).alias("_after"),
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("pos")
-    back = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back, ahead = _both_ways(Window.partitionBy(*keys, "_chunk"), "pos")
     return (
         rows.join(carried, [*keys, "_chunk"])
         .withColumns(
             {
                 "_prev": F.coalesce(F.last("_here", ignorenulls=True).over(back), "_before"),
-                "_next": F.coalesce(F.first("_here", ignorenulls=True).over(ahead), "_after"),
+                "_next": F.coalesce(F.last("_here", ignorenulls=True).over(ahead), "_after"),
             }
         )
         .drop("_here", "_chunk", "_before", "_after", *([] if has_pos else ["pos"]))
