@@ -48,7 +48,7 @@ def test_stationarity_matches_direct_regression(spark):
 
 
 def test_short_or_constant_series_get_the_default(spark):
-    found = stats.check_stationarity(panel(spark, {"short": walk(12), "flat": np.full(40, 2.0)})).collect()
+    found = stats.check_stationarity(panel(spark, {"short": walk(12), "flat": np.full(40, 2.3)})).collect()
     assert all(r["recommended_d"] == 1 and r["p_value"] is None and r["interpretation"] == "Unknown" for r in found)
 
 

@@ -10,7 +10,7 @@ from tideline.functions.dates import number_to_time, number_unit, text_to_time
 from tideline.functions.steps import DAY, HOUR, MINUTE, step_name, step_period
 from tideline.operators.quantile import summarise
 from tideline.operators.split import over_rows
-from tideline.panel import Panel, micros, number
+from tideline.panel import Measure, Panel, Size, micros, number
 
 # Words that mark a time column, in order of preference.
 TIME_WORDS = [
@@ -46,7 +46,8 @@ def unpivot(df: DataFrame, columns: dict[str, Column], name: str = "value") -> D
 def column_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Median and filled share per numeric column: one row per column."""
     long = unpivot(df, {c: number(F.col(c)) for c in columns})
-    panel = Panel(long, ["ordinal", "column"])
+    keys = ["ordinal", "column"]
+    panel = Panel(long, keys, measure=Measure(long, keys, Size(len(columns), df.count())))
     filled = F.avg(F.col("value").isNotNull().cast("double"))
     return summarise(panel, {"filled": filled}, {"median": 0.5})
 

@@ -243,10 +243,13 @@ def adf_sums(panel: Panel) -> DataFrame:
 
     Every entry of the regression's cross-product matrix is a lagged sum over the
     whole series less a few products at its ends, so ``lags + 1`` sums and ``lags``
-    border rows replace the series."""
+    border rows replace the series. Constant series have no test and are left out."""
     keys = panel.keys
     known = panel.known()
-    stats = known.df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("_mean"))
+    stats = known.df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("value").alias("_mean"), (F.max("value") > F.min("value")).alias("_moves")
+    )
+    stats = stats.where("_moves").drop("_moves")
     placed = positions(known)
     centred = panel.attach(placed, stats).withColumn("y", F.col("value") - F.col("_mean"))
     stepped = over_rows(
