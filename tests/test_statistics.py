@@ -8,7 +8,7 @@ from tideline.operators import forest, stats
 from tideline.functions.solve import unit_root_p_value
 
 
-def reference_adf(y: np.ndarray):
+def direct_adf(y: np.ndarray):
     """The regression done directly on the series."""
     most = min(len(y) // 2 - 2, math.ceil(12 * (len(y) / 100) ** 0.25))
     change = np.diff(y)
@@ -43,7 +43,7 @@ SERIES = {
 def test_stationarity_matches_direct_regression(spark):
     found = {r["k"]: r for r in stats.check_stationarity(panel(spark, SERIES)).collect()}
     for k, y in SERIES.items():
-        assert found[k]["adf_statistic"] == pytest.approx(reference_adf(y), abs=2e-4), k
+        assert found[k]["adf_statistic"] == pytest.approx(direct_adf(y), abs=2e-4), k
     assert [found[k]["recommended_d"] for k in ("noise", "ar", "walk", "double")] == [0, 0, 1, 2]
 
 
