@@ -8,9 +8,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
-from array import array
+import re
+from heapq import heappop, heappush
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -40,7 +41,8 @@ class Vocabulary:
         ids = data["model"]["vocab"]
         self.first = [ids[letters[b]] for b in range(256)]
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
-        self.merges = {(ids[a] << 32) | ids[b]: (rank << 32) | ids[a + b] for rank, (a, b) in enumerate(merges)}
+        self.ranks = {(ids[a] << 20) | ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.strings: dict[int, bytes] = {}
         for token, i in ids.items():
@@ -48,36 +50,45 @@ class Vocabulary:
         self.strings |= {i: s.encode() for s, i in self.special.items()}
 
     def merged(self, piece: bytes) -> list[int]:
-        """The ids of one piece. The queue holds (rank, place, result); an entry is stale
-        if either symbol changed since it was pushed."""
-        ids = [self.first[b] for b in piece]
-        n, merges = len(ids), self.merges
+        """The ids of one piece. The queue holds (rank, place) as one number; an entry is
+        stale if the pair that now stands at its place has another rank or none."""
+        first, rank_of = self.first, self.ranks.get
+        ids = [first[b] for b in piece]
+        n = len(ids)
         if n == 1:
             return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((ids[i] << 32) | ids[i + 1])
-            if found is not None:
-                queue.append((found >> 32, i, found & 0xFFFFFFFF, ids[i], ids[i + 1]))
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        queue, left = [], ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            rank = rank_of(left << 20 | right)
+            if rank is not None:
+                queue.append(rank << shift | i - 1)
+            left = right
+        if not queue:
+            return ids
+        after, before = list(range(1, n + 1)), list(range(-1, n))
         heapq.heapify(queue)
         while queue:
-            _, i, result, left, right = heapq.heappop(queue)
-            j = after[i] if ids[i] == left else n
-            if j >= n or ids[j] != right:
+            entry = heappop(queue)
+            i = entry & mask
+            j = after[i]
+            if j >= n or rank_of(ids[i] << 20 | ids[j]) != entry >> shift:
                 continue
-            ids[i], ids[j] = result, -1
+            made = self.made[entry >> shift]
+            ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = merges.get((result << 32) | ids[k])
-                if found is not None:
-                    heapq.heappush(queue, (found >> 32, i, found & 0xFFFFFFFF, result, ids[k]))
+                rank = rank_of(made << 20 | ids[k])
+                if rank is not None:
+                    heappush(queue, rank << shift | i)
             h = before[i]
             if h >= 0:
-                found = merges.get((ids[h] << 32) | result)
-                if found is not None:
-                    heapq.heappush(queue, (found >> 32, h, found & 0xFFFFFFFF, ids[h], result))
+                rank = rank_of(ids[h] << 20 | made)
+                if rank is not None:
+                    heappush(queue, rank << shift | h)
         return [i for i in ids if i >= 0]
 
 
@@ -87,7 +98,8 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.touching = re.compile(r" \s|\s ").search
         self.split = regex.compile(SPLIT).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -102,24 +114,19 @@ class Coder:
 
     def _plain(self, text: str) -> list[int]:
         """A blank between two other characters starts a piece, so such words split alone."""
+        if text[:1].isspace() or self.touching(text):
+            return self._chunk(text)
         words = text.split(" ")
-        out: list[int] = []
-        known, start = self.chunks, 0
-        for i, word in enumerate(words):
-            # join words again where blanks touch, so that the pattern sees them together
-            if i + 1 < len(words) and not (word and words[i + 1] and not word[-1].isspace() and not words[i + 1][0].isspace()):
-                continue
-            chunk = word if i == start else " ".join(words[start : i + 1])
-            if start:
-                chunk = " " + chunk
-            start = i + 1
-            ids = known.get(chunk)
+        out = list(self._chunk(words[0]))
+        known = self.words
+        for word in words[1:]:
+            ids = known.get(word)
             if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) < 64:
+                ids = self._chunk(" " + word)
+                if len(word) < 64:
                     if len(known) >= CACHED:
                         known.clear()
-                    known[chunk] = ids
+                    known[word] = ids
             out += ids
         return out
 
@@ -129,9 +136,9 @@ class Coder:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = self.vocabulary.merged(piece.encode("utf-8"))
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
                 if len(piece) < 64:
+                    if len(self.pieces) >= CACHED:
+                        self.pieces.clear()
                     self.pieces[piece] = ids
             out += ids
         return out
@@ -141,33 +148,21 @@ class Coder:
         return b"".join(map(self.vocabulary.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document: ids as little-endian
-    unsigned 32-bit integers, and the decoded text in UTF-8.
+def encoded(docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per document: digests of the ids
+    as little-endian unsigned 32-bit integers, and of the decoded text in UTF-8.
 
     Null and empty texts have no ids and the digests of nothing; special strings inside a
     text become their own id; very long texts are taken whole, as are very long pieces."""
-    with open(vocabulary_file, encoding="utf-8") as f:
-        content = f.read()
-
-    def make():
-        coder = Coder(Vocabulary(content))
+    return _coded(docs, vocabulary_file, True)
 
-        def of(text: str) -> tuple:
-            ids = coder.encode(text)
-            packed = array("I", ids)
-            if sys.byteorder == "big":
-                packed.byteswap()
-            decoded = coder.decode(ids).encode("utf-8")
-            return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-        return of
-
-    return per_text(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """``encoded`` without the ids themselves."""
+    return _coded(docs, vocabulary_file, False)
 
 
-def encoded(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """``doc_id, ids, decoded`` per document."""
+def _coded(docs: DataFrame, vocabulary_file: str, with_ids: bool) -> DataFrame:
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
 
@@ -176,8 +171,11 @@ def encoded(docs: DataFrame, vocabulary_file: str) -> DataFrame:
 
         def of(text: str) -> tuple:
             ids = coder.encode(text)
-            return ids, coder.decode(ids)
+            packed = np.array(ids, "<u4")
+            decoded = coder.decode(ids).encode("utf-8")
+            marks = hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            return (len(ids), packed.view("<i4"), *marks) if with_ids else (len(ids), *marks)
 
         return of
 
-    return per_text(docs, make, "ids array<int>, decoded string")
+    return per_text(docs, make, f"n_tokens long, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")

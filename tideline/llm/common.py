@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tideline.session import scratch_path
 
 
+SLICE = 512  # rows of an Arrow batch worked on at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,15 +42,51 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for batch in batches:
-            rows = [score(text) for text in batch.column("text").to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            arrays = [batch.column("doc_id")] + [pa.array(list(c), kinds[i + 1]) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                rows = [score(text.as_py()) for text in batch.column("text")]
+                arrays = [batch.column("doc_id")] + [pa.array(list(c), kinds[i + 1]) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
 
     return source.mapInArrow(run, full)
 
 
+def keep_texts(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text (null: empty) passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                yield batch.filter(pa.array([keep(t.as_py() or "") for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def change_texts(docs: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """The rows of ``docs`` with another text (null stays null), all other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                i = batch.schema.get_field_index("text")
+                texts_ = [None if t is None else change(t) for t in (t.as_py() for t in batch.column(i))]
+                yield batch.set_column(i, batch.schema.field(i), pa.array(texts_, batch.schema.field(i).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, dropped: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """``docs`` without the ids of ``dropped(doc_id)`` (a stored table). Up to ``few`` ids
+    are broadcast, so the texts stay where they are; more meet them in a shuffle."""
+    small = dropped.count() <= few
+    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti")
+
+
 def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

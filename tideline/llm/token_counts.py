@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +27,17 @@ def splitter(content: str) -> Callable[[str], list[str]]:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
     letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-    simple = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+    latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def parts(word: str) -> list[str]:
+        # below U+0250 normalising changes nothing and case is folded letter by letter
         if word.isascii():
             if word.isalpha():
                 return [word.lower()]
-            if "<|" not in word and not any(c in word for c in "\x0b\x0c\x1c\x1d\x1e\x1f\x7f"):
-                return [p.translate(letters) for p in simple(word.lower())]
-        elif word.isalpha() and max(word) < "ɐ" and "İ" not in word:
-            return [unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(letters)]
+            if word[:-1].isalpha() and word[-1] in ".,;:!?":
+                return [word[:-1].lower(), word[-1]]
+        if max(word) < "ɐ" and "İ" not in word and "<|" not in word and not odd(word):
+            return [p.encode().decode("latin-1").translate(letters) for p in latin(word.lower())]
         out = []
         for i, part in enumerate(cut(word) if cut else [word]):
             if i % 2:
@@ -49,9 +50,14 @@ def splitter(content: str) -> Callable[[str], list[str]]:
     return parts
 
 
+odd = re.compile("[\x1c-\x1f]").search  # white space for Python, not for the tokenizer
+
+
 def words_of(text: str) -> list[str]:
-    """Runs without the blanks no pre-token holds; rarer white space is left to the tokenizer."""
-    return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+    """Runs without white space: no pre-token crosses it."""
+    if odd(text):
+        return [w for w in re.split("[ \n\t\r]", text) if w]
+    return text.split()
 
 
 def distinct_pretokens(docs: DataFrame, content: str) -> DataFrame:
