@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Spellings of a missing entry.
 NULL_MARKERS = ["", "nan", "None", "NULL", "null", "NaT"]
 
-# The first and last second a nanosecond timestamp can hold.
-FIRST_STAMP, LAST_STAMP = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+# The range Spark documents for timestamps.
+FIRST_STAMP, LAST_STAMP = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 EXCEL_EPOCH = "1899-12-30"
 DAY_MICROS = 86_400_000_000
@@ -20,7 +20,7 @@ def _try_format(text: Column, pattern: str) -> Column:
 
 
 def _in_range(stamp: Column) -> Column:
-    """The stamp without zone, or NULL outside the range time series are kept in."""
+    """The stamp without zone, or NULL outside the years 1 to 9999."""
     plain = stamp.cast("timestamp_ntz")
     first, last = (F.lit(edge).cast("timestamp_ntz") for edge in (FIRST_STAMP, LAST_STAMP))
     return F.when(plain.between(first, last), plain)
@@ -65,7 +65,7 @@ def number_to_time(value: Column, unit: str) -> Column:
     v = value.cast("double")
     if unit == "excel":
         epoch = F.unix_micros(F.lit(EXCEL_EPOCH).cast("timestamp"))
-        us = F.round(v * F.lit(float(DAY_MICROS))).try_cast("bigint") + epoch
+        us = F.try_add(F.round(v * F.lit(float(DAY_MICROS))).try_cast("bigint"), epoch)
     else:
         scale = {"s": 1e6, "ms": 1e3}[unit]
         us = F.round(v * F.lit(scale)).try_cast("bigint")

@@ -58,6 +58,8 @@ def train_models(split: Panel, models: list[str] = MODELS) -> DataFrame:
         train = split.derive(split.df.where("is_train").select(*split.keys, "ts", "value"))
         facts = settle(model_facts(train))
         parts += [train_forecasts(split, facts, m) for m in fitted]
+    if not parts:
+        return train_models(split, list(CONSTANT)[:1]).where("false")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -102,7 +104,7 @@ def future_forecast(
     series (``keys, best_model``): then each series is refitted by its own model only."""
     keys = panel.keys
     panel = panel.known()
-    models = [known_model(m) for m in (models or list(dict.fromkeys([*MODELS, *FORECASTERS])))]
+    models = [known_model(m) for m in models] if models is not None else list(dict.fromkeys([*MODELS, *FORECASTERS]))
     dates = future_dates(panel, steps)
     facts, parts = None, []
 
@@ -126,6 +128,8 @@ def future_forecast(
                 *keys, "model", "step", "ts", "forecast", "lower", "upper", "status"
             )
         )
+    if not parts:  # no series, or none with a model to its name
+        return future_forecast(panel, steps, list(CONSTANT)[:1]).where("false")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -22,9 +22,10 @@ def summarise(
         exact = [F.percentile(value, q).alias(name) for name, q in quantiles.items()]
         return panel.df.groupBy(*panel.keys).agg(*[c.alias(n) for n, c in aggregates.items()], *exact)
     cuts = selected_quantiles(panel, quantiles, value)
-    if not aggregates:
-        return cuts
-    plain = panel.df.groupBy(*panel.keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    if aggregates:
+        plain = panel.df.groupBy(*panel.keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    else:
+        plain = panel.df.select(*panel.keys).distinct()  # series without a value keep their row
     return plain.join(cuts, panel.keys, "left")
 
 

@@ -26,7 +26,8 @@ def drop_unparsed(panel: Panel) -> Panel:
 def first_per_stamp(panel: Panel, tiebreak: str) -> Panel:
     """One row per stamp: the one with the least ``tiebreak`` (input order stands for it)."""
     rest = [c for c in panel.df.columns if c not in (*panel.keys, "ts")]
-    kept = panel.df.groupBy(*panel.keys, "ts").agg(F.min_by(F.struct(*rest), tiebreak).alias("_row"))
+    order = F.struct(F.col(tiebreak).isNull(), F.col(tiebreak))  # rows without a tie-break come last
+    kept = panel.df.groupBy(*panel.keys, "ts").agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return panel.derive(kept.select(*panel.keys, "ts", "_row.*"))
 
 
@@ -83,13 +84,14 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
         "frequency",
     )
 
-    kept = panel.derive(rows.where("_on").drop("_on"))
+    # without the rows off the grid ``pos`` has gaps, so the rest is numbered anew where needed
+    kept = panel.derive(rows.where("_on").drop("_on").withColumnsRenamed({"pos": "_was"}))
     spaced = over_rows(kept, 0, 1, {"_following": lambda w: F.lead("_place").over(w)})
     until = F.coalesce(F.col("_following"), F.col("_last") + 1) - 1
     opened = open_range(spaced, F.col("_place"), until, "_at")
     own = F.col("_at").isNull() | (F.col("_at") == F.col("_place"))
     stamp = F.when(own, F.col("ts")).otherwise(advance(first, code, F.col("_at"), ends))
-    placed = [F.coalesce("_at", "pos").alias("pos")] if "pos" in panel.df.columns else []
+    placed = [F.coalesce("_at", "_was").alias("pos")] if "pos" in panel.df.columns else []
     filled = opened.select(
         *keys, stamp.alias("ts"), F.when(own, F.col("value")).alias("value"), own.alias("observed"), *placed
     )

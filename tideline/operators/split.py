@@ -24,7 +24,8 @@ BINS_PER_CHUNK = 16
 def positions(panel: Panel, name: str = "pos") -> DataFrame:
     """Add the 0-based position of each row inside its series, ordered by ``ts``.
 
-    Stamps must be unique inside a series (true after cleaning)."""
+    Stamps must be unique inside a series (true after cleaning); rows without a stamp
+    come first, in a time bin of their own."""
     if not panel.split:
         return panel.df.withColumn(name, (F.row_number().over(panel.window) - 1).cast("long"))
 
@@ -39,7 +40,7 @@ def positions(panel: Panel, name: str = "pos") -> DataFrame:
     width = F.floor((F.col("_hi") - F.col("_lo")) / wanted).cast("long") + 1
     rows = (
         panel.attach(panel.df, span)
-        .withColumn(bin_name, F.floor((micros("ts") - F.col("_lo")) / width).cast("long"))
+        .withColumn(bin_name, F.coalesce(F.floor((micros("ts") - F.col("_lo")) / width).cast("long"), F.lit(-1)))
         .drop("_n", "_lo", "_hi")
     )
     by_bin = Panel(rows, [*keys, bin_name], panel.group_rows, broadcast_series=panel.broadcast_series)

@@ -9,7 +9,7 @@ from tideline.operators import anomaly, features, forest
 from tideline.operators import regularize as reg
 from tideline.panel import Panel
 from tideline.plans import sql, tables
-from tideline.plans.catalog import query
+from tideline.plans.catalog import ORACLE, query
 from tideline.plans.tables import six
 
 
@@ -160,8 +160,16 @@ _CLEANED = [tables.DIRTY_ORDERS, sql.UNIQUE_ORDERS, sql.GRID, sql.TIME_FILL]
 
 @query(sql.with_(*_CLEANED, select="SELECT k, ts, round(value, 6) AS value, observed FROM filled"))
 def clean_series(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = reg.clean(tables.dirty_orders(spark, folder), "o_orderkey").panel.df
-    return cleaned.select("k", "ts", *six("value"), "observed")
+    return _cleaned(tables.dirty_orders(spark, folder))
+
+
+@query(ORACLE["clean_series"])
+def clean_series_in_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _cleaned(tables.in_chunks(tables.dirty_orders(spark, folder)))
+
+
+def _cleaned(panel: Panel) -> DataFrame:
+    return reg.clean(panel, "o_orderkey").panel.df.select("k", "ts", *six("value"), "observed")
 
 
 @query(
@@ -310,8 +318,16 @@ def _rolling_sql(fixture: str, window: int, select: str) -> str:
     )
 )
 def rolling_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    rolled = features.rolling_stats(tables.event_raw(spark, folder), 7)
-    return rolled.select(
+    return _rolled(tables.event_raw(spark, folder))
+
+
+@query(ORACLE["rolling_statistics"])
+def rolling_statistics_in_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _rolled(tables.in_chunks(tables.event_raw(spark, folder)))
+
+
+def _rolled(panel: Panel) -> DataFrame:
+    return features.rolling_stats(panel, 7).select(
         "k", "ts", "value", *six("rolling_mean_7", "rolling_std_7", "rolling_min_7", "rolling_max_7")
     )
 
@@ -429,8 +445,16 @@ def zscore_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def iqr_flags(spark: SparkSession, folder: str) -> DataFrame:
-    flagged = anomaly.iqr_anomalies(tables.event_raw(spark, folder))
-    return flagged.select("k", "ts", "value", *six("lower_bound", "upper_bound"), "is_anomaly")
+    return _outside_iqr(tables.event_raw(spark, folder))
+
+
+@query(ORACLE["iqr_flags"])
+def iqr_flags_in_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _outside_iqr(tables.in_chunks(tables.event_raw(spark, folder)))
+
+
+def _outside_iqr(panel: Panel) -> DataFrame:
+    return anomaly.iqr_anomalies(panel).select("k", "ts", "value", *six("lower_bound", "upper_bound"), "is_anomaly")
 
 
 @query()

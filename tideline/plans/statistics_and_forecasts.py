@@ -10,7 +10,7 @@ from tideline.operators import fits, forecast, schema, stats
 from tideline.operators.regularize import prepare_forecast
 from tideline.panel import Panel
 from tideline.plans import sql, tables
-from tideline.plans.catalog import query
+from tideline.plans.catalog import ORACLE, query
 from tideline.plans.tables import six, table
 from tideline.session import scratch_path
 from tideline.sources import files
@@ -105,6 +105,11 @@ def signal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return stats.signal_quality(tables.gappy_hourly(spark, folder))
 
 
+@query(ORACLE["signal_quality"])
+def signal_quality_in_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.signal_quality(tables.in_chunks(tables.gappy_hourly(spark, folder)))
+
+
 _ANALYSIS = [*_SEASON, sql.TREND, sql.QUALITY, sql.ANALYSIS]
 
 

@@ -22,6 +22,14 @@ def _panel(df: DataFrame) -> Panel:
     return Panel.of(df, "ts", "value", ["k"])
 
 
+CHUNK_ROWS = 150  # of the queries that repeat an operator with every series cut
+
+
+def in_chunks(panel: Panel) -> Panel:
+    """The panel with its series cut into small chunks, to hold that plan against the same oracle."""
+    return Panel(panel.df, panel.keys, CHUNK_ROWS)
+
+
 def priority_daily(spark: SparkSession, folder: str) -> Panel:
     """Daily revenue per order priority; has gaps."""
     orders = table(spark, folder, "orders")

@@ -20,11 +20,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local runs) a temporary folder is used.
+    Only local runs may name none and then get a temporary folder; elsewhere that folder
+    would be out of the executors' reach, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not named and master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         current = named or tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(current)
     return named or current
