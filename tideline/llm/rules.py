@@ -102,6 +102,15 @@ def cascade(sample: list[str], checks: dict[str, Rule]) -> list[str]:
     return sorted(checks, key=lambda name: -gain[name])
 
 
+def _sample(docs: DataFrame, size: int) -> list[str]:
+    """Whole texts of ``size`` documents with the least hash of their ids; only ids are sorted."""
+    if not size:
+        return []
+    ids = texts(docs).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(size)
+    found = texts(docs).join(F.broadcast(ids), "doc_id", "left_semi")  # `size` ids at most
+    return [r.text for r in found.select("text").limit(size).collect()]
+
+
 def screen(docs: DataFrame, checks: dict[str, Rule] | None = None, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, rejected_by`` per document.
@@ -110,8 +119,7 @@ def screen(docs: DataFrame, checks: dict[str, Rule] | None = None, sample: int =
     which stops at the first rule that rejects and names it. Null and empty texts have no
     words and fail; repeated rows come out once each; very long texts are taken whole."""
     checks = checks or rules()
-    probe = texts(docs).orderBy(F.xxhash64("doc_id")).limit(sample) if sample else None
-    order = cascade([r.text for r in probe.select("text").toLocalIterator()] if probe else [], checks)
+    order = cascade(_sample(docs, sample), checks)
 
     def make():
         base = [name for name in BASE if name in checks]
