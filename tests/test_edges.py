@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from series import rows
 
-from tideline.operators import anomaly, features, forecast
+from tideline.operators import anomaly, detect, features, forecast
 from tideline.operators import regularize as reg
 from tideline.panel import Panel
 from tideline.session import shared_dir
@@ -57,6 +57,29 @@ def test_a_missing_tie_break_comes_last_but_keeps_its_value(spark):
     assert [r.value for r in kept] == [1.0, 6.0]
 
 
+def test_text_and_numeric_stamps_are_read(spark):
+    texts = [("a", "2024-01-01", 1.0), ("a", "03/01/2024", 2.0), ("a", "nothing", 3.0), ("a", None, 4.0)]
+    panel = Panel.of(spark.createDataFrame(texts, "k string, at string, value double"), "at", "value", ["k"])
+    assert panel.df.where("ts is null").count() == 2
+    assert reg.drop_unparsed(panel).df.count() == 2
+    seconds = [("a", 1_700_000_000 + 60 * i, float(i)) for i in range(5)]
+    panel = Panel.of(spark.createDataFrame(seconds, "k string, at long, value double"), "at", "value", ["k"])
+    assert panel.df.agg({"ts": "min"}).first()[0] == dt.datetime(2023, 11, 14, 22, 13, 20)
+
+
+def test_numbers_mostly_out_of_range_are_no_stamps(spark):
+    far = 1e13  # as days beyond any calendar
+    values = [60_000.0] * 20 + [far] * 10
+    df = spark.createDataFrame([(v,) for v in values], "t double")
+    assert detect.to_datetime(df, "t").where("t is not null").count() == 0
+    assert detect.to_datetime(df.where("t < 100000"), "t").where("t is not null").count() == 20
+
+
+def test_decimals_count_as_numbers(spark):
+    df = spark.createDataFrame([(1, "a")], "x int, n string").selectExpr("cast(x as decimal(12,2)) price", "n")
+    assert detect.numeric_columns(df) == ["price"]
+
+
 def test_no_chosen_series_gives_no_rows(spark):
     panel = panel_of(spark, daily(40))
     panel = panel.derive(panel.df.drop("row_id"))

@@ -5,6 +5,7 @@ from series import ar1, frame, panel, season, walk
 
 from tideline.functions.fitting import HoltWinters, fit_arima, fit_sarima
 from tideline.operators import baselines, fits, forecast
+from tideline.operators.detect import detect_frequency
 from tideline.panel import Panel
 
 
@@ -110,9 +111,39 @@ def test_unknown_model_is_an_error(spark):
     assert forecast.known_model("Exponential Smoothing") == "Holt-Winters"
 
 
-def test_unthinned_series_are_refused(spark):
-    with pytest.raises(ValueError, match="thin"):
-        fits.check_bounded(Panel(spark.range(100_001).select(F.lit("a").alias("k")), ["k"]))
+def minutes(spark, n):
+    at = F.timestamp_seconds(F.lit(1_700_000_000 // 60 * 60) + F.col("id") * 60).cast("timestamp_ntz")
+    wave = (F.col("id") % 60).cast("double")
+    return Panel.of(spark.range(n).select(F.lit("a").alias("k"), at.alias("ts"), wave.alias("value"), "id"), "ts", "value", ["k"], ["id"])
+
+
+def test_a_long_series_keeps_its_calendar(spark):
+    n = 120_000
+    result = forecast.run_forecast(minutes(spark, n), "id", ["Naive"])
+    assert result.panel.df.count() == n
+    assert result.report.first()["fit_stride"] == 2
+    assert detect_frequency(result.panel).first()["code"] == "min"
+    stamps = [r["ts"] for r in forecast.future_forecast(result.panel, 3, ["Naive"]).orderBy("step").collect()]
+    last = result.panel.df.agg(F.max("ts")).first()[0]
+    assert [(s - last).total_seconds() for s in stamps] == [60, 120, 180]
+
+
+def test_bounds_of_fits(spark):
+    long = minutes(spark, 1000)
+    tail = fits.recent(long, 100)
+    assert tail.where("_cut").count() == tail.count() == 100
+    assert tail.agg(F.max("ts")).first() == long.df.agg(F.max("ts")).first()
+    whole = fits.recent(long, 501)
+    assert whole.where("not _cut").count() == whole.count() == 1000
+
+
+def test_a_season_is_counted_in_thinned_rows(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "stride", lambda n: F.lit(5))
+    schema = "k string, recommended_d int, seasonal_period int, seasonality string, trend_direction string"
+    facts = spark.createDataFrame([("a", 1, 60, "Strong", "Flat"), ("b", 0, 7, "Strong", "Flat")], schema)
+    split = Panel(spark.createDataFrame([("a",), ("b",)], "k string"), ["k"])
+    found = {r["k"]: (r["seasonal_period"], r["seasonality"]) for r in forecast.thinned_season(facts, split).collect()}
+    assert found == {"a": (12, "Strong"), "b": (None, "None")}
 
 
 def test_metrics_edge_cases(spark):

@@ -13,6 +13,7 @@ FIRST_STAMP, LAST_STAMP = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 EXCEL_EPOCH = "1899-12-30"
 DAY_MICROS = 86_400_000_000
+UNITS = ["excel", "s", "ms"]
 
 
 def _try_format(text: Column, pattern: str) -> Column:
@@ -72,14 +73,15 @@ def number_to_time(value: Column, unit: str) -> Column:
     return _in_range(F.timestamp_micros(us))
 
 
-def number_unit(median: float | None, filled: float) -> str | None:
-    """Which numeric reading the column median points at; needs over 80 % filled."""
-    if median is None or filled <= 0.80:
+def number_unit(median: float | None, parsed: dict[str, float]) -> str | None:
+    """Which numeric reading the column median points at; over 80 % of all rows must parse in it."""
+    unit = None
+    if median is None:
         return None
     if 20000 < median < 90000:
-        return "excel"
-    if median > 1e11:
-        return "ms"
-    if 1e8 < median < 1e11:
-        return "s"
-    return None
+        unit = "excel"
+    elif median > 1e11:
+        unit = "ms"
+    elif 1e8 < median < 1e11:
+        unit = "s"
+    return unit if unit and parsed[unit] > 0.80 else None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.dates import number_to_time, number_unit, text_to_time
+from tideline.functions.dates import UNITS, number_to_time, number_unit, text_to_time
 from tideline.functions.steps import DAY, HOUR, MINUTE, step_name, step_period
 from tideline.operators.quantile import summarise
 from tideline.operators.split import over_rows
@@ -30,7 +30,7 @@ IGNORED_WORDS = ["id", "index", "serial", "zipcode", "postal", "pin", "phone", "
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    kinds = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+    kinds = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
@@ -44,12 +44,12 @@ def unpivot(df: DataFrame, columns: dict[str, Column], name: str = "value") -> D
 
 
 def column_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Median and filled share per numeric column: one row per column."""
+    """Median per numeric column and the share of rows each reading parses: one row per column."""
     long = unpivot(df, {c: number(F.col(c)) for c in columns})
     keys = ["ordinal", "column"]
     panel = Panel(long, keys, measure=Measure(long, keys, Size(len(columns), df.count())))
-    filled = F.avg(F.col("value").isNotNull().cast("double"))
-    return summarise(panel, {"filled": filled}, {"median": 0.5})
+    parsed = {u: F.avg(number_to_time(F.col("value"), u).isNotNull().cast("double")) for u in UNITS}
+    return summarise(panel, parsed, {"median": 0.5})
 
 
 def time_expressions(df: DataFrame, columns: list[str] | None = None, dayfirst: bool = False) -> dict[str, Column]:
@@ -58,7 +58,8 @@ def time_expressions(df: DataFrame, columns: list[str] | None = None, dayfirst:
     numeric = [c for c in numeric_columns(df) if c in columns]
     units = {}
     if numeric:
-        units = {r["column"]: number_unit(r["median"], r["filled"]) for r in column_numbers(df, numeric).collect()}
+        found = column_numbers(df, numeric).collect()
+        units = {r["column"]: number_unit(r["median"], {u: r[u] for u in UNITS}) for r in found}
     exprs = {}
     for field in df.schema.fields:
         if field.name not in columns:
@@ -68,7 +69,7 @@ def time_expressions(df: DataFrame, columns: list[str] | None = None, dayfirst:
             exprs[field.name] = col.cast("timestamp_ntz")
         elif field.name in units:
             unit = units[field.name]
-            whole = not isinstance(kind, (T.FloatType, T.DoubleType))
+            whole = not isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
             as_text = text_to_time(col.cast("string")) if whole else F.lit(None).cast("timestamp_ntz")
             exprs[field.name] = number_to_time(col, unit) if unit else as_text
         elif isinstance(kind, T.StringType):

@@ -1,11 +1,12 @@
 """ARIMA, seasonal ARIMA and Holt-Winters, one task per series and model.
 
-A fit runs through time step by step, so a series is the unit of work. The input
-must be thinned (``regularize.thin``), which bounds a series below 100,000 rows."""
+A fit runs through time step by step, so a series is the unit of work and is bounded
+below 100,000 rows: training thins longer ones, forecasts fit their latest rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.fitting import HoltWinters, fit_arima, fit_sarima
-from tideline.operators.regularize import MODEL_ROWS
+from tideline.operators.regularize import MODEL_ROWS, thin
+from tideline.operators.split import positions
 from tideline.panel import Panel
 
 SARIMA_ROWS = 30
@@ -131,10 +133,20 @@ FORECASTERS: dict[str, Callable] = {
 }
 
 
-def register_model(name: str, trainer: Callable, forecaster: Callable) -> None:
-    """Add a model: ``trainer(row, y, actual) -> (order, predicted)`` and
-    ``forecaster(row, y, steps, level) -> (order, forecast, half_width)``."""
-    TRAINERS[name], FORECASTERS[name] = trainer, forecaster
+@dataclass(frozen=True)
+class Registry:
+    """The fitted models by name."""
+
+    trainers: dict[str, Callable]
+    forecasters: dict[str, Callable]
+
+    def with_model(self, name: str, trainer: Callable, forecaster: Callable) -> Registry:
+        """A registry with one more model: ``trainer(row, y, actual) -> (order, predicted)`` and
+        ``forecaster(row, y, steps, level) -> (order, forecast, half_width)``."""
+        return Registry({**self.trainers, name: trainer}, {**self.forecasters, name: forecaster})
+
+
+BUILT_IN = Registry(TRAINERS, FORECASTERS)
 
 
 def _key_schema(panel: Panel) -> str:
@@ -142,17 +154,26 @@ def _key_schema(panel: Panel) -> str:
     return ", ".join(f"`{k}` {kinds[k]}" for k in panel.keys)
 
 
-def check_bounded(panel: Panel) -> None:
-    if panel.size.largest >= 2 * MODEL_ROWS:
-        raise ValueError("thin the panel before fitting: a fit holds one series in one task")
+def recent(panel: Panel, limit: int = MODEL_ROWS) -> DataFrame:
+    """Rows ``(keys, ts, value, _cut)``: of series with ``2 * limit`` rows or more the last ``limit``.
+
+    The latest rows keep the series' own step, so a forecast stays on its calendar."""
+    rows = panel.derive(panel.df.select(*panel.keys, "ts", "value"))
+    if panel.size.largest < 2 * limit:
+        return rows.df.withColumn("_cut", F.lit(False))
+    n = F.col("_n")
+    counts = rows.df.groupBy(*panel.keys).agg(F.count("*").alias("_n"))
+    placed = panel.attach(positions(rows, "_pos"), counts).withColumn("_cut", n >= 2 * limit)
+    return placed.where(~F.col("_cut") | (F.col("_pos") >= n - limit)).drop("_n", "_pos")
 
 
-def train_forecasts(split: Panel, facts: DataFrame, model: str) -> DataFrame:
+def train_forecasts(split: Panel, facts: DataFrame, model: str, registry: Registry = BUILT_IN) -> DataFrame:
     """Test rows of one model with its order; a failed fit is one row with the reason as ``status``.
 
     ``facts`` holds per series what the model asks for: differencing, season, trend."""
-    check_bounded(split)
-    keys, train = split.keys, TRAINERS[model]
+    if split.size.largest >= 2 * MODEL_ROWS:
+        split = thin(split)
+    keys, train = split.keys, registry.trainers[model]
     wanted = ["recommended_d", "seasonal_period", "seasonality", "trend_direction"]
     rows = split.attach(split.df.select(*keys, "ts", "value", "is_train"), facts.select(*keys, *wanted))
 
@@ -177,19 +198,22 @@ def train_forecasts(split: Panel, facts: DataFrame, model: str) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def future_forecasts(panel: Panel, facts: DataFrame, model: str, steps: int, level: float = 0.95) -> DataFrame:
-    """Rows ``(keys, model, step, forecast, lower, upper, order, status)`` from a fit on the whole series."""
-    check_bounded(panel)
-    keys, predict = panel.keys, FORECASTERS[model]
+def future_forecasts(
+    panel: Panel, facts: DataFrame, model: str, steps: int, level: float = 0.95, registry: Registry = BUILT_IN
+) -> DataFrame:
+    """Rows ``(keys, model, step, forecast, lower, upper, order, status)`` from a fit on the whole series.
+
+    A series too long for one task is fitted on its ``recent`` rows, and ``status`` says so."""
+    keys, predict = panel.keys, registry.forecasters[model]
     wanted = ["recommended_d", "seasonal_period", "seasonality", "trend_direction"]
-    rows = panel.attach(panel.df.select(*keys, "ts", "value"), facts.select(*keys, *wanted))
+    rows = panel.attach(recent(panel), facts.select(*keys, *wanted))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
         first = group.iloc[0]
         try:
             order, forecast, half = predict(first, group["value"].to_numpy(float), steps, level)
-            status = "ok"
+            status = f"fitted on the last {len(group)} rows" if first["_cut"] else "ok"
         except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
             order, status = (None,) * 7, f"failed: {error}"
             forecast = half = np.full(steps, np.nan)

@@ -20,8 +20,8 @@ from tideline.operators.baselines import (
     split_train_test,
 )
 from tideline.operators.detect import detect_frequency
-from tideline.operators.fits import FORECASTERS, ORDER, TRAINERS, future_forecasts, train_forecasts
-from tideline.operators.regularize import prepare_forecast
+from tideline.operators.fits import BUILT_IN, ORDER, Registry, future_forecasts, train_forecasts
+from tideline.operators.regularize import MODEL_ROWS, prepare_forecast, stride, thin
 from tideline.operators.stats import analyze_series, check_stationarity, detect_seasonality, detect_trend
 from tideline.panel import Panel
 from tideline.session import settle
@@ -29,9 +29,9 @@ from tideline.session import settle
 CONSTANT = MODELS[:2]
 
 
-def known_model(name: str) -> str:
-    """A trained or registered model; other names are an error."""
-    return name if name in TRAINERS else model_name(name)
+def known_model(name: str, registry: Registry = BUILT_IN) -> str:
+    """A model of the registry or a constant one; other names are an error."""
+    return name if name in registry.trainers else model_name(name)
 
 
 def model_facts(panel: Panel) -> DataFrame:
@@ -45,9 +45,26 @@ def model_facts(panel: Panel) -> DataFrame:
     )
 
 
-def train_models(split: Panel, models: list[str] = MODELS) -> DataFrame:
-    """Test forecasts of all chosen models in one table; failures carry their reason."""
-    models = [known_model(m) for m in models]
+def thinned_season(facts: DataFrame, split: Panel) -> DataFrame:
+    """Facts with the season counted in the rows thinning leaves; none where the stride does not divide it."""
+    strides = split.df.groupBy(*split.keys).agg(stride(F.count("*")).alias("_stride"))
+    step, season = F.col("_stride"), F.col("seasonal_period")
+    left = F.when((season % step == 0) & (season >= 2 * step), season / step)
+    kind = facts.schema["seasonal_period"].dataType
+    return facts.join(strides, split.keys).select(
+        *split.keys,
+        "recommended_d",
+        F.when(step == 1, season).otherwise(left).cast(kind).alias("seasonal_period"),
+        F.when((step == 1) | left.isNotNull(), F.col("seasonality")).otherwise("None").alias("seasonality"),
+        "trend_direction",
+    )
+
+
+def train_models(split: Panel, models: list[str] = MODELS, registry: Registry = BUILT_IN) -> DataFrame:
+    """Test forecasts of all chosen models in one table; failures carry their reason.
+
+    Fitted models see every ``stride``-th row of a very long series, constant ones all rows."""
+    models = [known_model(m, registry) for m in models]
     constant = [m for m in models if m in CONSTANT]
     fitted = [m for m in models if m not in CONSTANT]
     parts = []
@@ -56,8 +73,12 @@ def train_models(split: Panel, models: list[str] = MODELS) -> DataFrame:
         parts.append(baseline_forecasts(split, constant).select("*", *blanks, F.lit("ok").alias("status")))
     if fitted:
         train = split.derive(split.df.where("is_train").select(*split.keys, "ts", "value"))
-        facts = settle(model_facts(train))
-        parts += [train_forecasts(split, facts, m) for m in fitted]
+        facts, bounded = model_facts(train), split
+        if split.size.largest > MODEL_ROWS:
+            facts = thinned_season(facts, split)
+            bounded = split.derive(settle(thin(split).df), keep_size=False)
+        facts = settle(facts)
+        parts += [train_forecasts(bounded, facts, m, registry) for m in fitted]
     if not parts:
         return train_models(split, list(CONSTANT)[:1]).where("false")
     return reduce(DataFrame.unionByName, parts)
@@ -80,13 +101,19 @@ class Forecast:
     skipped: DataFrame
 
 
-def run_forecast(panel: Panel, tiebreak: str, models: list[str] = MODELS, dedup_values: bool = False) -> Forecast:
+def run_forecast(
+    panel: Panel,
+    tiebreak: str,
+    models: list[str] = MODELS,
+    dedup_values: bool = False,
+    registry: Registry = BUILT_IN,
+) -> Forecast:
     """Prepare, split, train, rank. The split and the fits are written once and read by every later step."""
     prepared = prepare_forecast(panel, tiebreak, dedup_values)
     split = split_train_test(prepared.panel)
     split = split.derive(settle(split.df))
-    forecasts = train_models(split, models)
-    if any(known_model(m) not in CONSTANT for m in models):
+    forecasts = train_models(split, models, registry)
+    if any(known_model(m, registry) not in CONSTANT for m in models):
         forecasts = settle(forecasts)
     board = score_models(forecasts, panel.keys)
     rows = split.derive(split.df.select(*panel.keys, "ts", "value"))
@@ -96,7 +123,12 @@ def run_forecast(panel: Panel, tiebreak: str, models: list[str] = MODELS, dedup_
 
 
 def future_forecast(
-    panel: Panel, steps: int, models: list[str] | None = None, chosen: DataFrame | None = None, level: float = 0.95
+    panel: Panel,
+    steps: int,
+    models: list[str] | None = None,
+    chosen: DataFrame | None = None,
+    level: float = 0.95,
+    registry: Registry = BUILT_IN,
 ) -> DataFrame:
     """Future rows ``(keys, model, step, ts, forecast, lower, upper, status)``.
 
@@ -104,7 +136,8 @@ def future_forecast(
     series (``keys, best_model``): then each series is refitted by its own model only."""
     keys = panel.keys
     panel = panel.known()
-    models = [known_model(m) for m in models] if models is not None else list(dict.fromkeys([*MODELS, *FORECASTERS]))
+    every = list(dict.fromkeys([*MODELS, *registry.forecasters]))
+    models = every if models is None else [known_model(m, registry) for m in models]
     dates = future_dates(panel, steps)
     facts, parts = None, []
 
@@ -122,7 +155,7 @@ def future_forecast(
             continue
         if facts is None:
             facts = settle(model_facts(panel))
-        fitted = future_forecasts(members(model), facts, model, steps, level)
+        fitted = future_forecasts(members(model), facts, model, steps, level, registry)
         parts.append(
             fitted.join(dates, [*keys, "step"]).select(
                 *keys, "model", "step", "ts", "forecast", "lower", "upper", "status"

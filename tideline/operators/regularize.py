@@ -263,13 +263,17 @@ def drop_outliers_iqr(panel: Panel) -> DataFrame:
 # --- thinning and composites ----------------------------------------------------
 
 
+def stride(n: Column, limit: int = MODEL_ROWS) -> Column:
+    """Every how many-th row of a series of ``n`` rows thinning keeps."""
+    return F.when(n > limit, F.floor(n / limit)).otherwise(1).cast("int")
+
+
 def thin(panel: Panel, limit: int = MODEL_ROWS) -> Panel:
     """Keep every ``n // limit``-th row of series longer than ``limit``."""
     if panel.size.largest <= limit:
         return panel
     counts = panel.df.groupBy(*panel.keys).agg(F.count("*").alias("_n"))
-    step = F.when(F.col("_n") > limit, F.floor(F.col("_n") / limit)).otherwise(1)
-    rows = panel.attach(positions(panel, "_pos"), counts).where(F.col("_pos") % step == 0)
+    rows = panel.attach(positions(panel, "_pos"), counts).where(F.col("_pos") % stride(F.col("_n"), limit) == 0)
     return panel.derive(rows.drop("_n", "_pos"), keep_size=False)
 
 
@@ -294,13 +298,15 @@ class Prepared:
 
 
 def prepare_forecast(panel: Panel, tiebreak: str, dedup_values: bool = False) -> Prepared:
-    """Clean, keep known values, thin very long series, set short ones aside.
+    """Clean, keep known values, set short series aside.
 
-    The result is written once: every model, statistic and score reads it again."""
+    No row is thinned away here: only fits train on every ``fit_stride``-th row (in the
+    report). The result is written once: every model, statistic and score reads it again."""
     cleaned = clean(panel, tiebreak, dedup_values)
-    thinned = thin(cleaned.panel.derive(cleaned.panel.df.select(*panel.keys, "ts", "value")).known())
-    thinned = thinned.derive(settle(thinned.df))
-    return Prepared(long_enough(thinned), cleaned.report, too_short(thinned))
+    known = cleaned.panel.derive(cleaned.panel.df.select(*panel.keys, "ts", "value")).known()
+    known = known.derive(settle(known.df))
+    report = cleaned.report.withColumn("fit_stride", stride(F.col("final_rows")))
+    return Prepared(long_enough(known), report, too_short(known))
 
 
 def preprocess(

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.dates import text_to_time
+
 GROUP_ROWS = 2_000_000  # rows of one series a single task may sort
 BROADCAST_SERIES = 100_000  # rows of a per-series table that may be broadcast
 NO_KEY = "(none)"
@@ -69,6 +71,18 @@ def number(col: Column) -> Column:
     return F.when(~F.isnan(as_double), as_double)
 
 
+def read_stamp(df: DataFrame, name: str) -> Column:
+    """A column of any type as a stamp; the unit of numbers follows from the whole column."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return text_to_time(F.col(name))
+    if isinstance(kind, T.NumericType):
+        from tideline.operators.detect import time_expressions
+
+        return time_expressions(df, [name])[name]
+    return F.col(name).cast("timestamp_ntz")
+
+
 class Panel:
     """A frame with key columns, a time column ``ts`` and a value column ``value``."""
 
@@ -98,6 +112,8 @@ class Panel:
     ) -> Panel:
         """Project to the panel columns; without keys the whole table is series 0.
 
+        Texts and numbers are read as stamps; what does not parse is a NULL stamp.
+
         Rows without a text key form a series of their own, ``(none)``; rows that lack
         any other key belong to no series and are left out."""
         names = list(keys)
@@ -108,7 +124,7 @@ class Panel:
         key_cols = key_cols or [only_series(ts).alias("series")]
         columns = [
             *key_cols,
-            F.col(ts).cast("timestamp_ntz").alias("ts"),
+            read_stamp(df, ts).alias("ts"),
             number(F.col(value)).alias("value"),
             *[F.col(c) for c in extra],
         ]

@@ -38,25 +38,17 @@ def fill_missing_days(spark: SparkSession, folder: str) -> DataFrame:
     return reg.to_grid(tables.priority_daily(spark, folder)).panel.df
 
 
-_SPARSE_MONTHS = """
-p AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::TIMESTAMP AS ts,
-             sum(floor(o_totalprice)) AS value
-      FROM orders WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 5 <> 0 GROUP BY 1, 2)"""
-
-
 @query(
     sql.with_(
-        _SPARSE_MONTHS,
+        tables.SUPPLIER_MONTHLY,
         "x AS (SELECT k, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY k)",
         "c AS (SELECT k, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS ts FROM x)",
         select="SELECT c.k, c.ts, p.value, p.k IS NOT NULL AS observed FROM c LEFT JOIN p ON p.k = c.k AND p.ts = c.ts",
     )
 )
 def fill_missing_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fifth month is left out, then put back empty."""
-    panel = tables.priority_monthly(spark, folder)
-    sparse = panel.df.where((F.year("ts") * 12 + F.month("ts")) % 5 != 0)
-    return reg.to_grid(panel.derive(sparse)).panel.df
+    """Months without a delivery are put in empty."""
+    return reg.to_grid(tables.supplier_monthly(spark, folder)).panel.df
 
 
 @query(
@@ -214,19 +206,9 @@ def _register_resample(unit: str, fixture: str, make) -> None:
         return _rows(reg.resample_mean(make(spark, folder), unit))
 
 
-def _sparse_daily(spark: SparkSession, folder: str) -> Panel:
-    """Daily revenue with every fifth month left out."""
-    panel = tables.priority_daily(spark, folder)
-    return panel.derive(panel.df.where((F.year("ts") * 12 + F.month("ts")) % 5 != 0))
-
-
-_SPARSE_DAYS = """
-p AS (SELECT o_orderpriority AS k, o_orderdate AS ts, sum(floor(o_totalprice)) AS value
-      FROM orders WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 5 <> 0 GROUP BY 1, 2)"""
-
 _register_resample("day", tables.EVENT_RAW, tables.event_raw)
 for _unit in ("week", "month", "quarter", "year"):
-    _register_resample(_unit, _SPARSE_DAYS, _sparse_daily)
+    _register_resample(_unit, tables.PRIORITY_DAILY, tables.priority_daily)
 
 
 @query(

@@ -71,22 +71,29 @@ def autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     return stats.acf(tables.event_hourly(spark, folder), 30).select("k", "lag", *six("acf"))
 
 
-# Three lags have a closed form, so the recursion can be checked in plain SQL.
+_PACF_LAGS = 30
+
+
+# The recursion over lags: phi holds the coefficients of the last lag, r the autocorrelations from lag 0.
 @query(
     sql.with_(
         tables.PRIORITY_DAILY,
         sql.NUMBERED,
-        sql.autocorrelation(3),
-        """r AS (SELECT k, max(CASE WHEN lag = 1 THEN acf END) AS a, max(CASE WHEN lag = 2 THEN acf END) AS b,
-             max(CASE WHEN lag = 3 THEN acf END) AS c FROM ac GROUP BY k)""",
-        select="""SELECT k, lag, round(acf, 6) AS acf, round(CASE lag WHEN 0 THEN 1 WHEN 1 THEN a
-        WHEN 2 THEN (b - a * a) / (1 - a * a)
-        ELSE (c + a * a * a + a * b * b - 2 * a * b - a * a * c) / (1 + 2 * a * a * b - b * b - 2 * a * a) END, 6)
-        AS pacf FROM ac JOIN r USING (k)""",
-    )
+        sql.autocorrelation(_PACF_LAGS),
+        "r AS (SELECT k, list(acf ORDER BY lag) AS r FROM ac GROUP BY k)",
+        f"""phis AS (SELECT k, 1::BIGINT AS m, [r[2]] AS phi, r[2] AS pacf FROM r
+             UNION ALL SELECT k, m + 1, list_append(list_transform(range(1, m + 1),
+                 lambda i: phi[i] - g * phi[m + 1 - i]), g), g
+             FROM (SELECT phis.k, m, phi,
+                 (r[m + 2] - list_sum(list_transform(range(1, m + 1), lambda i: phi[i] * r[m + 2 - i])))
+                 / (1 - list_sum(list_transform(range(1, m + 1), lambda i: phi[i] * r[i + 1]))) AS g
+                 FROM phis JOIN r ON r.k = phis.k WHERE m < {_PACF_LAGS}))""",
+        select="""SELECT ac.k, lag, round(acf, 6) AS acf, round(CASE lag WHEN 0 THEN 1 ELSE pacf END, 6) AS pacf
+        FROM ac LEFT JOIN phis ON phis.k = ac.k AND m = lag""",
+    ).replace("WITH", "WITH RECURSIVE", 1)
 )
 def partial_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.acf_pacf(tables.priority_daily(spark, folder), 3).select("k", "lag", *six("acf", "pacf"))
+    return stats.acf_pacf(tables.priority_daily(spark, folder), _PACF_LAGS).select("k", "lag", *six("acf", "pacf"))
 
 
 @query()
@@ -383,7 +390,7 @@ def _last_quarter_future(row, y, steps, level):
 )
 def registered_model(spark: SparkSession, folder: str) -> DataFrame:
     """A model added by name is trained like the built-in ones."""
-    fits.register_model("Last Quarter", _last_quarter, _last_quarter_future)
+    registry = fits.BUILT_IN.with_model("Last Quarter", _last_quarter, _last_quarter_future)
     split = base.split_train_test(tables.priority_monthly(spark, folder))
-    rows = forecast.train_models(split, ["Last Quarter"])
+    rows = forecast.train_models(split, ["Last Quarter"], registry)
     return rows.select("k", "model", "ts", "value", *six("yhat"))

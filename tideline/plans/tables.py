@@ -69,6 +69,18 @@ p AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::TIMESTAMP A
       FROM orders GROUP BY 1, 2)"""
 
 
+def supplier_monthly(spark: SparkSession, folder: str) -> Panel:
+    """Monthly quantity per supplier; some months have no delivery."""
+    lines = table(spark, folder, "lineitem")
+    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")
+    return _panel(lines.groupBy(F.col("l_suppkey").alias("k"), month).agg(F.sum("l_quantity").alias("value")))
+
+
+SUPPLIER_MONTHLY = """
+p AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, sum(l_quantity) AS value
+      FROM lineitem GROUP BY 1, 2)"""
+
+
 def event_hourly(spark: SparkSession, folder: str) -> Panel:
     """Hourly value totals per event type; has gaps."""
     events = table(spark, folder, "events")
@@ -105,11 +117,12 @@ p AS (SELECT event_type AS k, ts, round(value * 100) AS value FROM events)"""
 
 
 def dirty_orders(spark: SparkSession, folder: str) -> Panel:
-    """Single orders: repeated stamps, missing stamps and missing values by rule."""
+    """Single orders with stamps as text: repeated, unreadable and missing ones by rule."""
     orders = table(spark, folder, "orders")
+    written = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     df = orders.select(
         F.col("o_orderpriority").alias("k"),
-        F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("ts"),
+        F.when(F.col("o_orderkey") % 50 != 0, written).otherwise("no date").alias("ts"),
         F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("value"),
         "o_orderkey",
     )

@@ -30,10 +30,11 @@ def load_csv_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, "
+    "o_totalprice::VARCHAR AS o_totalprice, "
     "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS o_orderdate, o_orderpriority FROM orders"
 )
 def load_csv_strings(spark: SparkSession, folder: str) -> DataFrame:
-    return files.read_strings(spark, _orders_csv(spark, folder)).drop("o_totalprice")
+    return files.read_strings(spark, _orders_csv(spark, folder))
 
 
 @query("SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 10000")
@@ -47,6 +48,18 @@ def preview_text(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "preview", F.length("text").alias("chars"))
 
 
+@query(
+    """SELECT sum(length(text) + 1)::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines
+    FROM documents"""
+)
+def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts written as files of a thousand documents, read back whole and counted."""
+    path = scratch_path(spark, "documents-text")
+    table(spark, folder, "documents").select("text").write.option("maxRecordsPerFile", 1000).text(path)
+    breaks = F.length("value") - F.length(F.replace("value", F.lit("\n")))
+    return files.read_text(spark, path).agg(F.sum(F.length("value")).alias("chars"), F.sum(breaks).alias("lines"))
+
+
 @query(
     sql.with_(
         tables.PRIORITY_DAILY,
@@ -84,14 +97,11 @@ def short_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, o_orderpriority, o_orderdate + INTERVAL 3 HOUR AS placed, o_custkey % 100 AS small
-    FROM orders"""
+    "SELECT *, o_orderdate + INTERVAL 3 HOUR AS placed, o_custkey % 100 AS small FROM orders"
 )
 def convert_column_types(spark: SparkSession, folder: str) -> DataFrame:
     placed = F.date_format(F.col("o_orderdate") + F.expr("interval 3 hours"), "yyyy-MM-dd HH:mm:ss")
-    raw = table(spark, folder, "orders").select(
-        "o_orderkey", "o_orderpriority", placed.alias("placed"), (F.col("o_custkey") % 100).alias("small")
-    )
+    raw = table(spark, folder, "orders").withColumns({"placed": placed, "small": F.col("o_custkey") % 100})
     return schema.convert_types(raw)
 
 
@@ -128,14 +138,19 @@ def type_advice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey * 100000 AS big, TRY_CAST(l_orderkey * 100000 AS INTEGER) AS narrow,
-    round(l_quantity::FLOAT, 2) AS l_quantity,
+    """SELECT l_orderkey::INTEGER AS l_orderkey, l_partkey::INTEGER AS l_partkey, l_suppkey::INTEGER AS l_suppkey,
+    l_linenumber, l_returnflag, l_linestatus, l_shipdate, round(l_quantity::FLOAT::DOUBLE, 2) AS l_quantity,
+    round(l_extendedprice::FLOAT::DOUBLE, 1) AS l_extendedprice, round(l_discount::FLOAT::DOUBLE, 4) AS l_discount,
+    round(l_tax::FLOAT::DOUBLE, 4) AS l_tax, TRY_CAST(l_orderkey * 100000 AS INTEGER) AS narrow,
     (TRY_CAST(l_orderkey * 100000 AS INTEGER) IS NULL)::INTEGER AS overflowed FROM lineitem"""
 )
 def force_narrow_types(spark: SparkSession, folder: str) -> DataFrame:
-    wide = (F.col("l_orderkey") * 100000).alias("narrow")
-    forced = schema.force_narrow(table(spark, folder, "lineitem").select(wide, "l_quantity", wide.cast("decimal(20,0)").alias("big")))
-    return forced.select(F.col("big").cast("bigint").alias("big"), "narrow", F.round("l_quantity", 2).alias("l_quantity"), "overflowed")
+    """The whole table, with a column that overflows; floats are compared to a few digits."""
+    forced = schema.force_narrow(
+        table(spark, folder, "lineitem").withColumn("narrow", F.col("l_orderkey") * 100000)
+    )
+    digits = {"l_quantity": 2, "l_extendedprice": 1, "l_discount": 4, "l_tax": 4}
+    return forced.withColumns({c: F.round(F.col(c).cast("double"), d) for c, d in digits.items()})
 
 
 @query(
@@ -173,7 +188,10 @@ def repair_untidy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _summary_sql() -> str:
-    kinds = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}
+    kinds = {
+        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+        "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+    }
     return "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", '{t}' AS type, (SELECT count(DISTINCT {c}) FROM orders) AS unique_values,
         (SELECT count(*) - count({c}) FROM orders) AS missing_values,
@@ -185,27 +203,21 @@ def _summary_sql() -> str:
 
 @query(_summary_sql())
 def summarise_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return schema.column_summary(
-        table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    )
+    return schema.column_summary(table(spark, folder, "orders"))
 
 
 @query(
-    """SELECT count(*) AS rows, 4 AS columns,
-    round(sum((o_totalprice IS NULL)::INT) / (count(*) * 4.0) * 100, 2) AS missing_percent,
-    count(*) - count(DISTINCT (o_custkey, o_orderdate, o_orderpriority, o_totalprice)) AS duplicate_rows,
-    'o_custkey,o_totalprice' AS numeric_columns, 'o_orderdate' AS date_column,
+    """SELECT count(*) AS rows, 6 AS columns,
+    round(sum((o_totalprice IS NULL)::INT) / (count(*) * 6.0) * 100, 2) AS missing_percent,
+    count(*) - count(DISTINCT (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority))
+    AS duplicate_rows, 'o_orderkey,o_custkey,o_totalprice' AS numeric_columns, 'o_orderdate' AS date_column,
     'Generic Time Series' AS dataset_type, min(o_orderdate) AS start_date, max(o_orderdate) AS end_date,
     floor((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 86400000000)::BIGINT AS total_days
-    FROM (SELECT o_custkey % 10 AS o_custkey, o_orderdate, o_orderpriority,
-          CASE WHEN o_orderkey % 17 = 0 THEN o_totalprice END AS o_totalprice FROM orders)"""
+    FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS o_totalprice) FROM orders)"""
 )
 def dataset_basics(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.when(F.col("o_orderkey") % 17 == 0, F.col("o_totalprice")).alias("o_totalprice")
-    customer = (F.col("o_custkey") % 10).alias("o_custkey")
-    return schema.table_basics(
-        table(spark, folder, "orders").select(customer, "o_orderdate", "o_orderpriority", price)
-    )
+    price = F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice"))
+    return schema.table_basics(table(spark, folder, "orders").withColumn("o_totalprice", price))
 
 
 @query(
@@ -279,8 +291,8 @@ def _time_scores_sql() -> str:
     def year(c: str) -> str:
         median = f"(SELECT median({c}) FROM orders)"
         return f"""CASE WHEN {median} > 20000 AND {median} < 90000
-            THEN CASE WHEN {c} <= 132320 THEN TIMESTAMP '1899-12-30' + to_days({c}::INT) END
-            WHEN {c} BETWEEN 1678 AND 2262 THEN make_timestamp({c}, 1, 1, 0, 0, 0) END"""
+            THEN CASE WHEN {c} <= 2958465 THEN TIMESTAMP '1899-12-30' + to_days({c}::INT) END
+            WHEN {c} BETWEEN 1000 AND 9999 THEN make_timestamp({c}, 1, 1, 0, 0, 0) END"""
 
     columns = {
         "o_orderkey": year("o_orderkey"),
