@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -16,7 +15,6 @@ from tideline.llm.bpe import byte_letters
 from tideline.llm.common import stored, texts
 
 HEAVY = 200_000  # most pre-tokens that travel to every task
-MARK_SHIFT = 8  # 24 bits of a text's checksum tell texts under one id apart
 HELD = 300_000  # pre-tokens and words a task holds before it hands on or forgets
 
 
@@ -123,9 +121,14 @@ def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 2048, heavy
     ``1 / heavy`` share of all occurrences (there can't be more than ``heavy``) travel to
     the documents; all others meet the documents' frequencies in a shuffle join, where no
     key is hot. Null and empty texts count 0 tokens; no documents give no rows; very long
-    texts are counted whole; rows that share a ``doc_id`` come out once each, with the
-    counts of their own text.
+    texts are counted whole; rows that share a ``doc_id`` or lack one come out once each,
+    with the counts of their own text.
     """
+    repeated = texts(docs).groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if not repeated.isEmpty():  # rows are numbered in a written table, so the numbers stand
+        rows = stored(texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+        out = token_counts(rows.select(F.col("row").alias("doc_id"), "text"), vocabulary_file, limit, heavy)
+        return rows.select("row", "doc_id").join(out.withColumnRenamed("doc_id", "row"), "row").drop("row")
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
     table = stored(piece_counts(distinct_pretokens(docs, content), content), "pretokens")
@@ -137,7 +140,7 @@ def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 2048, heavy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, pieces, known = splitter(content), shared.value, {}
         for batch in batches:
-            ids, marks, names, counts, sizes = [], [], [], [], []
+            ids, names, counts, done, sizes = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py()
                 total, rare = 0, Counter()
@@ -152,32 +155,26 @@ def token_counts(docs: DataFrame, vocabulary_file: str, limit: int = 2048, heavy
                     total += n * got[0]
                     for p in got[1]:
                         rare[p] += n
-                raw = text.encode("utf-8")
                 ids += [doc_id] * (1 + len(rare))
-                marks += [zlib.crc32(raw) >> MARK_SHIFT] * (1 + len(rare))
                 names += [None, *rare]
-                counts += [total, *rare.values()]
-                sizes += [len(raw) + 1] + [0] * len(rare)  # above 0 only in a text's first row
+                counts += [0, *rare.values()]
+                done += [total] + [0] * len(rare)
+                sizes += [len(text.encode("utf-8"))] + [0] * len(rare)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
-                    "mark": pa.array(marks, pa.int32()),
                     "pretoken": pa.array(names, pa.string()),
                     "n": pa.array(counts, pa.int64()),
-                    "size": pa.array(sizes, pa.int64()),
+                    "known": pa.array(done, pa.int64()),
+                    "n_bytes": pa.array(sizes, pa.int64()),
                 }
             )
 
-    rows = texts(docs).mapInArrow(run, "doc_id long, mark int, pretoken string, n long, size long")
+    rows = texts(docs).mapInArrow(run, "doc_id long, pretoken string, n long, known long, n_bytes long")
     # rows without a rare pre-token spread by their id: no pre-token holds a blank
     rows = rows.withColumn("pretoken", F.coalesce("pretoken", F.concat(F.lit(" "), F.col("doc_id").cast("string"))))
     rare = table.filter(~common).select("pretoken", "pieces")
-    counted = rows.join(rare, "pretoken", "left").groupBy("doc_id", "mark").agg(
-        F.max("size").alias("size"),
-        F.count_if(F.col("size") > 0).alias("copies"),  # equal rows
-        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"),  # a first row's n is tokens already
+    counted = rows.join(rare, "pretoken", "left").groupBy("doc_id").agg(
+        F.max("n_bytes").alias("n_bytes"), F.sum(F.col("known") + F.col("n") * F.coalesce("pieces", F.lit(0))).alias("n_tokens")
     )
-    counted = counted.select(
-        "doc_id", (F.col("size") - 1).alias("n_bytes"), F.expr("n div copies").alias("n_tokens"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    ).drop("col")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
