@@ -1,0 +1,69 @@
+"""Near-duplicate groups of the pipeline against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tideline.llm import near
+from tideline.llm.simhash import shingle_hashes
+
+
+def groups_by_force(texts):
+    sets = [set(shingle_hashes(t or "", 5).tolist()) for t in texts]
+    root = list(range(len(sets)))
+    pairs = 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            where.setdefault(h, []).append(i)
+    common = {}
+    for ids in where.values():
+        for k, j in enumerate(ids):
+            for i in ids[:k]:
+                common[i, j] = common.get((i, j), 0) + 1
+    empty = [i for i, s in enumerate(sets) if not s]
+    common |= {(empty[0], j): 0 for j in empty[1:]}
+    for (i, j), n in common.items():
+        if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+            pairs += sets[i] != sets[j]
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))], pairs
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("few", [0, 4, 1e9])
+def test_groups_are_those_of_brute_force(spark, few):
+    rng = random.Random(3)
+    texts = [None, "", "one two", "one two", "ONE  two"]
+    for _ in range(30):  # families around the bound
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([20, 60, 300, 1500]))]
+        texts += [" ".join(edited(rng, base, round(len(base) * x))) for x in (0, 0.01, 0.02, 0.022, 0.025, 0.03, 0.05, 0.08)]
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts += [" ".join(edited(rng, base, rng.randrange(1, 5))) for _ in range(80)]  # one large group
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.similar_groups(docs, few=few).collect()}
+    want, pairs = groups_by_force(texts)
+    assert pairs > 100
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_given_tables_are_grouped_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
+    want, _ = groups_by_force([r.text for r in rows])
+    kept = corpus_pipeline.one_of_each(spark, docs, None)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [r.doc_id for i, r in enumerate(rows) if want[i] == i]
