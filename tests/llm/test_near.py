@@ -67,3 +67,15 @@ def test_given_tables_are_grouped_as_by_brute_force(spark):
     want, _ = groups_by_force([r.text for r in rows])
     kept = corpus_pipeline.one_of_each(spark, docs, None)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [r.doc_id for i, r in enumerate(rows) if want[i] == i]
+
+
+def test_recall_of_bands_at_the_bound(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    for n in (9, 45, 900, 1800):  # sets at a similarity of exactly 0.8
+        for _ in range(60):
+            hashes = np.array([rng.getrandbits(64) for _ in range(n + n // 9 + 9)], np.uint64)
+            k = n // 9
+            one, two = hashes[:n], np.concatenate([hashes[k:n], hashes[n : n + k]])
+            assert set(enumerate(near.bands(one))) & set(enumerate(near.bands(two)))
