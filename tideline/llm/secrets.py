@@ -7,7 +7,7 @@ inside base64) open further layers, until none is new."""
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -26,8 +26,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MOST_BYTES = 1 << 26  # one compressed run opens to at most this
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+BLANKS = re.compile(r"\s+")
+PACKED = re.compile(r"(?=H4sI|e[AFJN]|(?<=[+/])[A-Za-z0-9])")  # where gzip or zlib data may begin in base64
+CUT = re.compile(r"""[^\sA-Za-z0-9+/_.=:%\\"'-]|(?<=[A-Za-z0-9.])\x20(?=[A-Za-z0-9])|\n(?=\n)""")
+CHUNK = 1 << 20  # bytes of compressed data opened at once
 
 
 @dataclass
@@ -59,31 +62,119 @@ def _unquote(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Zlib or gzip data, opened up to a bound; None if it is neither."""
-    if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31):
-        return None
+def _starts_packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 1 and raw[0] & 15 == 8 and not (raw[0] << 8 | raw[1]) % 31)
+
+
+def _member(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    """Opens the zlib or gzip member that begins with ``head`` in bounded chunks. Returns
+    what stands behind it, or None if nothing could be opened; broken data ends there."""
+    machine, got, data = zlib.decompressobj(47), False, head
+    while True:
+        try:
+            out = machine.decompress(data, CHUNK)
+        except zlib.error:
+            return b"" if got else None
+        if out:
+            got = True
+            yield out
+        if machine.eof:
+            return machine.unused_data
+        data = machine.unconsumed_tail
+        if not data and len(out) < CHUNK:
+            data = next(rest, b"")
+            if not data:
+                return b"" if got else None
+
+
+def _plain(chunks: Iterator[bytes], above: frozenset = frozenset()) -> Iterator[bytes]:
+    """The chunks with compressed data opened: members one after the other, and compressed
+    data inside each. Data that holds itself is opened once."""
+    chunks = iter(chunks)
+    head = next(chunks, b"")
+    while head:
+        mark = hashlib.blake2b(head, digest_size=16).digest()
+        if len(head) < 2:
+            head += next(chunks, b"")
+        if not _starts_packed(head) or mark in above:
+            break
+        behind = []
+
+        def member(head: bytes = head, behind: list = behind) -> Iterator[bytes]:
+            behind.append((yield from _member(head, chunks)))
+
+        yield from _plain(member(), above | {mark})
+        if behind[0] is None:
+            break
+        head = behind[0] or next(chunks, b"")
+    if head:
+        yield head
+        yield from chunks
+
+
+def _last_cut(text: str) -> int:
+    size = 1024
+    while True:
+        low = max(0, len(text) - size)
+        if (cut := max((m.end() for m in CUT.finditer(text, low)), default=0)) or not low:
+            return cut
+        size *= 8
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The text of the chunks in pieces cut where no match and no encoded run can stand;
+    bytes that are no UTF-8 become a character that ends both."""
+    decoder, kept = codecs.getincrementaldecoder("utf-8")("replace"), []
+    for chunk in chunks:
+        text = decoder.decode(chunk)
+        cut = _last_cut(text)
+        if cut:
+            yield "".join(kept) + text[:cut]
+            kept = []
+        kept.append(text[cut:])
+    if rest := "".join(kept) + decoder.decode(b"", True):
+        yield rest
+
+
+def _bytes(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _opens(raw: bytes) -> bool:
+    """Whether compressed data begins here."""
+    if not _starts_packed(raw):
+        return False
     try:
-        return zlib.decompressobj(47).decompress(raw, MOST_BYTES)
+        return bool(zlib.decompressobj(47).decompress(raw, 1))
     except zlib.error:
-        return None
-
-
-def _unbase64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1 or re.fullmatch("[0-9a-f]+", body):
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    while (opened := _inflate(raw)) is not None and opened != raw:
-        raw = opened
+        return False
+
+
+def _unbase64(run: str) -> Iterator[str]:
+    """The texts that a run may hold. Besides the run from its start: compressed data that
+    begins further on (behind a prefix), and the other three offsets."""
+    body = BLANKS.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    if re.fullmatch("[0-9a-f]+", body):
+        return
+    raw = _bytes(body)
+    if _opens(raw):
+        yield from _pieces(_plain([raw]))
+        return
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) else None
+        text = raw.decode("utf-8", "replace")
+    else:
+        if sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text):
+            yield text
+            return
+    for m in PACKED.finditer(body):
+        if _opens(_bytes(body[m.start() : m.start() + 4096])):
+            yield from _pieces(_plain([_bytes(body[m.start() :])]))
+    yield text
+    for at in (1, 2, 3):
+        yield _bytes(body[at:]).decode("utf-8", "replace")
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[str], str]) -> Layer | None:
@@ -121,10 +212,32 @@ def _opened(layer: Layer) -> Iterator[Layer]:
     for has, pattern, decode in (("%", URL, _unquote), ("\\", UNICODE, _unescape)):
         if has in layer.text and (below := _replaced(layer, pattern, decode)):
             yield below
-    for m in BASE64.finditer(layer.text):
-        if plain := _unbase64(m[0]):
-            span = layer.origin(*m.span())
-            yield Layer(plain, lambda start, end, span=span: span)
+    for m in WRAPPED.finditer(layer.text):
+        for start, end in _runs(layer.text, *m.span()):
+            span = layer.origin(start, end)
+            for plain in _unbase64(layer.text[start:end]):
+                yield Layer(plain, lambda start, end, span=span: span)
+
+
+def _runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The runs that lines of base64 may form: each line alone, unless all are of one width
+    as encoders wrap them, and lines together. A last short line may be a word that follows."""
+    lines = [(m.start(), m.end()) for m in re.compile(r"[^\s]+").finditer(text, start, end)]
+    if len(lines) == 1:
+        yield start, end
+        return
+    width = lines[0][1] - lines[0][0]
+    if width % 4 == 0 and all(b - a == width for a, b in lines[:-1]) and lines[-1][1] - lines[-1][0] <= width:
+        yield start, end
+        if not text[start:end].endswith("="):
+            for a, b in lines[1:]:  # compressed data of its own
+                if b - a >= 16 and _opens(_bytes(text[a:b].replace("-", "+").replace("_", "/").rstrip("="))):
+                    yield a, b
+        return
+    for a, b in lines:
+        if b - a >= 16:
+            yield a, b
+    yield start, end
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -134,17 +247,20 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     code points, end exclusive."""
     base = find(text)
     spans = dict.fromkeys(base)
-    work, seen = [Layer(text, lambda start, end: (start, end))], set()
-    while work:
-        for below in _opened(work.pop()):
-            digest = hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            mark = (*below.origin(0, len(below.text)), digest) if below.text else None
-            if mark is None or mark in seen:
-                continue
-            seen.add(mark)
-            for kind, start, end in find(below.text):
-                spans.setdefault((kind, *below.origin(start, end)))
-            work.append(below)
+    work, seen = [_opened(Layer(text, lambda start, end: (start, end)))], set()
+    while work:  # depth first: one layer of each depth is held at a time
+        below = next(work[-1], None)
+        if below is None:
+            work.pop()
+            continue
+        digest = hashlib.blake2b(below.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        mark = (*below.origin(0, len(below.text)), digest) if below.text else None
+        if mark is None or mark in seen:
+            continue
+        seen.add(mark)
+        for kind, start, end in find(below.text):
+            spans.setdefault((kind, *below.origin(start, end)))
+        work.append(_opened(below))
     return base, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
