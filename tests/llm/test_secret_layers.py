@@ -50,3 +50,25 @@ def test_layers_with_other_bytes():
 def test_a_run_before_a_word_keeps_its_span():
     run = base64.b64encode(f"{PROSE} {SECRET} {PROSE}".encode()).decode().rstrip("=")
     assert found(f"see {run}\nNext words")[0] == run
+
+
+@pytest.mark.parametrize("lead", [(1 << 26) + 5, (1 << 26) - 9, (1 << 26) - 1])
+def test_secrets_behind_64_mb(lead):
+    for fill in (b"\n", "é".encode()):
+        raw = fill * (lead // len(fill)) + SECRET.encode()
+        text = base64.b64encode(zlib.compress(raw, 9)).decode()
+        assert found(text) == [text]
+
+
+def test_secrets_in_later_members():
+    for pack in (gzip.compress, zlib.compress):
+        raw = pack(PROSE.encode()) + pack(b"x") + pack(pack(f" {SECRET}".encode()))
+        text = base64.b64encode(raw).decode()
+        assert found(text) == [text]
+
+
+def test_matches_across_chunks():
+    for at in range(0, len(SECRET) + 1, 3):
+        raw = b"ab " * ((secrets.CHUNK - at) // 3) + SECRET.encode()
+        text = base64.b64encode(zlib.compress(raw)).decode()
+        assert found(text) == [text]
