@@ -6,6 +6,9 @@ Whole documents and each of their lines are hashed and joined with the known dig
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ SPELLINGS = [
     ("https", "http"),
 ]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—…·•\t\r\f\v "
+NOTICE_LINE = r"(?m)^[ \t>#*/]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|[<\[{])|(\(c\)|©)[ \t]*(copyright|[0-9]{4}|[<\[{])|all rights reserved[. \t\r]*$)[^\n]*$"  # no line that wrapping begins with "copyright notice"
 COPYRIGHT_LINE = r"(?m)^[ \t>#*/]*(copyright|\(c\)|©)[^\n]*$"
 
 # fixed values: published notices and texts (name, text)
@@ -44,9 +48,9 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
     """Canonical form with line breaks kept; lines are trimmed."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(text), dropped, "")
     out = F.translate(out, PUNCTUATION, " " * len(PUNCTUATION))
     out = F.regexp_replace(out, " *\n *", "\n")
     out = F.trim(F.regexp_replace(out, " {2,}", " "))
@@ -60,13 +64,42 @@ def whole(canon: Column) -> Column:
     return F.trim(F.regexp_replace(canon, "\n+", " "))
 
 
+def joined(canon: Column) -> Column:
+    """As ``whole``, with spellings that a line break parted made one too."""
+    out = whole(canon)
+    for found, kept in SPELLINGS:
+        out = F.replace(out, F.lit(found), F.lit(kept))
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
 
-def digests(licenses: DataFrame) -> DataFrame:
+def entire_licenses(spark: SparkSession) -> DataFrame:
+    """The complete standard texts: each body under each of its titles."""
+    with open(Path(__file__).with_name("license_texts.jsonl"), encoding="utf-8") as file:
+        entries = [json.loads(line) for line in file]
+    rows = [(e["license"], f"{title}\n\n{body}") for e in entries for title in e["titles"] for body in e["bodies"]]
+    return spark.createDataFrame(rows, "license string, text string")
+
+
+def _entire(docs: DataFrame, known: DataFrame, builtin: bool) -> tuple[DataFrame, DataFrame]:
+    """Licenses however their lines are wrapped: ``doc_id, entire`` of whole documents and
+    ``doc_id, wrapped`` (names) of paragraphs of several lines."""
+    if builtin:  # words that each of the known texts has
+        docs = docs.filter(F.col("text").rlike("(?i)licen|permission|redistribution|unencumbered|warrant|creative commons"))
+    canon = docs.select("doc_id", canonical(F.col("text"), NOTICE_LINE).alias("canon"))
+    digest = lambda c: F.sha2(joined(c).cast("binary"), 256).alias("digest")
+    of_all = canon.select("doc_id", digest(F.col("canon"))).join(known, "digest").groupBy("doc_id").agg(F.min("license").alias("entire"))
+    parts = canon.select("doc_id", F.explode(F.split("canon", "\n{2,}")).alias("part")).filter("instr(trim(BOTH '\\n' FROM part), '\\n') > 0")
+    of_parts = parts.select("doc_id", digest(F.col("part"))).join(known, "digest").groupBy("doc_id").agg(F.collect_set("license").alias("wrapped"))
+    return of_all, of_parts
+
+
+def digests(licenses: DataFrame, dropped: str = COPYRIGHT_LINE, line=whole) -> DataFrame:
     """``digest, license``: one row per canonical text (the first name if several share it)."""
-    digest = F.sha2(whole(canonical(F.col("text"))).cast("binary"), 256)
+    digest = F.sha2(line(canonical(F.col("text"), dropped)).cast("binary"), 256)
     return licenses.filter("text is not null").groupBy(digest.alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -74,8 +107,8 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, whole_license, licenses, n_lines`` per document.
 
     ``whole_license`` names the license whose text the document is; ``licenses`` the
-    licenses, by name, that are the document or one of its lines, comma-joined (empty if
-    none); ``n_lines`` counts those lines. Null and empty texts have the digest of an empty
+    licenses, by name, that are the document, one of its lines or a paragraph of several
+    lines, comma-joined (empty if none); ``n_lines`` counts those lines. Null and empty texts have the digest of an empty
     text, which no license has; repeated rows come out once each; very long texts are
     hashed whole. Join strategies follow the size of ``licenses``."""
     spark = docs.sparkSession
@@ -88,8 +121,12 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     found = lines.join(known, "digest").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.collect_set("license").alias("names")
     )
-    out = marked.join(found, "doc_id", "left")
-    names = F.array_union(F.coalesce("names", F.array().cast("array<string>")), F.when(F.col("whole_license").isNull(), F.array().cast("array<string>")).otherwise(F.array("whole_license")))
+    wanted = known_licenses(spark).union(entire_licenses(spark)) if licenses is None else licenses.select("license", "text")
+    of_all, of_parts = _entire(texts(docs), digests(wanted, NOTICE_LINE, joined), licenses is None)
+    out = marked.join(found, "doc_id", "left").join(of_all, "doc_id", "left").join(of_parts, "doc_id", "left")
+    out = out.withColumn("whole_license", F.coalesce("whole_license", "entire"))
+    none = F.array().cast("array<string>")
+    names = F.array_union(F.array_union(F.coalesce("names", none), F.coalesce("wrapped", none)), F.when(F.col("whole_license").isNull(), F.array().cast("array<string>")).otherwise(F.array("whole_license")))
     return out.select(
         "doc_id",
         "digest",
