@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, licenses, pii, quality, rules, secrets, simhash, token_counts, toxicity
+from tideline.llm import bpe, conversations, decontaminate, fim, licenses, minhash, pii, quality, rules, secrets, simhash, token_counts, toxicity
 from tideline.llm.common import table
 
 QUERIES: dict = {}
@@ -85,6 +85,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licenses that a document, or a line of it, is."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links at a shingle similarity of 0.85."""
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(conversations.repair(conversations.damaged(rows), every=rows.select("conv_id")))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, and restored."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    whole = fim.restored(F.col("form"), F.col("output"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(whole.cast("binary"), 256).alias("restored_sha256"),
+    )
 
 
 @query
@@ -96,3 +118,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_licenses"] = licenses.oracle()
+ORACLE["op13_fill_in_middle"] = fim.oracle()
