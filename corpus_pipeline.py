@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, near, quality, secrets
+from tideline.llm import bpe, decontaminate, quality, secrets, simhash
 from tideline.llm.common import stored, table, without
 from tideline.llm.queries import vocabulary
 
@@ -20,8 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group (five-word shingles)."""
-    groups = near.similar_groups(docs, words=5)
+    """The document with the least id of each group that fingerprints of four-word shingles link
+    (at most four differing bits)."""
+    groups = simhash.near_duplicates(docs, words=4, budget=4)
     return without(docs, stored(groups.filter("doc_id > component_id").select("doc_id"), "repeated"))
 
 
