@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 from series import ar1, frame, panel, season, walk
 
-from tideline.functions.fitting import HoltWinters, fit_arima, fit_sarima
-from tideline.operators import baselines, fits, forecast
+from tideline.functions import recursion
+from tideline.functions.fitting import HoltWinters, fit_arima, fit_long, fit_sarima
+from tideline.operators import baselines, fits, forecast, longfits
 from tideline.operators.detect import detect_frequency
 from tideline.panel import Panel
 
@@ -167,3 +168,93 @@ def test_leaderboard_ties_keep_training_order(spark):
     board = baselines.leaderboard(scores, ["k"]).orderBy("place").collect()
     assert [r["model"] for r in board] == ["Naive", "Moving Average", "ARIMA", "SARIMA"]
     assert board[3]["overall_score"] == 16
+
+
+def test_lanes_choose_the_same_candidate(spark):
+    pdf = frame({"good": season(240, 12, slope=0.4, noise=0.5), "few": season(25, 12)}, freq="MS")
+    split = baselines.split_train_test(panel(spark, pdf))
+    facts = forecast.model_facts(split.derive(split.df.where("is_train").select(*split.keys, "ts", "value")))
+    for model in ("ARIMA", "SARIMA", "Holt-Winters"):
+        one, many = (
+            fits.train_forecasts(split, facts, model, lanes=n).orderBy("k", "ts").toPandas() for n in (1, 7)
+        )
+        assert len(one) == len(many) and (one["status"] == many["status"]).all()
+        orders = [*fits.ORDER]
+        assert one[orders].equals(many[orders])
+        assert np.allclose(one["yhat"], many["yhat"], atol=1e-3, equal_nan=True)
+
+
+def test_a_grid_is_shared_out_whole():
+    grid = fits.TRAINERS["SARIMA"]
+    row = {"recommended_d": 1, "seasonal_period": 12}
+    for lanes in (1, 5, 50):
+        shared = [c for lane in range(lanes) for c in grid.share(row, 500, lane, lanes)]
+        assert sorted(shared) == list(enumerate(fits.sarima_grid(500, 1)))
+
+
+def test_lag_errors_are_those_of_one_pass():
+    rng = np.random.default_rng(0)
+    own, lags, start = rng.normal(size=(1500, 4)), np.array([1, 2, 7, 8, 9]), rng.normal(size=(9, 4))
+    ma = 0.2 * rng.normal(size=(5, 4))
+    want = np.concatenate([start, np.zeros_like(own)])
+    for t in range(len(own)):
+        want[9 + t] = own[t] - sum(weight * want[9 + t - lag] for lag, weight in zip(lags, ma))
+    errors, end = recursion.lag_errors(own, lags, ma, start)
+    assert np.allclose(errors, want[9:], atol=1e-12) and np.allclose(end, want[-9:], atol=1e-12)
+
+
+def test_long_fits_agree_with_short_ones():
+    y = season(3000, 12, slope=0.01, noise=1.0)
+    for orders, d, m, short in (([(1, 1, 1, 1), (1, 0, 0, 1)], 1, 12, fit_sarima(y, 1, 12, [(1, 1, 1, 1), (1, 0, 0, 1)])),):
+        for a, b in zip(fit_long(y, d, orders, m), short):
+            assert a.order == b.order and a.aic == pytest.approx(b.aic, abs=1e-6)
+            assert np.allclose(a.forecast(24), b.forecast(24), atol=1e-4)
+            assert np.allclose(a.interval(24, 0.9), b.interval(24, 0.9), atol=1e-4)
+    y = ar1(20_000, 0.7)
+    for a, b in zip(fit_long(y, 0, [(1, 0), (1, 1)]), fit_arima(y, 0, [(1, 0), (1, 1)])):
+        assert a.order == b.order and np.allclose(a.forecast(5), b.forecast(5), atol=1e-3)
+
+
+def test_chunks_fit_all_rows_of_a_series(spark):
+    y = season(4000, 12, slope=0.01, noise=1.0)
+    long = panel(spark, {"a": y, "b": ar1(4000, 0.7)})
+    for orders, m in (([(1, 1, 1, 1)], 12), ([(1, 0), (0, 1), (2, 1)], 0)):
+        found = longfits.fit_panel(long, {("a",): longfits.Job(1, orders, m), ("b",): longfits.Job(0, orders, m)}, 900)
+        for key, d, values in (("a", 1, y), ("b", 0, ar1(4000, 0.7))):
+            for a, b in zip(found[key,], fit_long(values, d, orders, m), strict=True):
+                assert a.order == b.order and a.aic == pytest.approx(b.aic, abs=1e-4)
+                assert np.allclose(a.forecast(24), b.forecast(24), atol=1e-4)
+
+
+def test_series_beyond_a_task_are_forecast_from_all_rows(spark):
+    pdf = frame({"long": ar1(1200, 0.7), "short": ar1(100, 0.5)})
+    whole, small = panel(spark, pdf), panel(spark, pdf)
+    small.group_rows = 300
+    facts = spark.createDataFrame(
+        [("long", 0, 7, "Strong", "Flat"), ("short", 0, 7, "Strong", "Flat")],
+        "k string, recommended_d int, seasonal_period int, seasonality string, trend_direction string",
+    )
+    for model in ("ARIMA", "SARIMA"):
+        want, got = (fits.future_forecasts(p, facts, model, 4).orderBy("k", "step").toPandas() for p in (whole, small))
+        assert (got["status"] == "ok").all() and (got["k"] == want["k"]).all()
+        assert np.allclose(got["forecast"], want["forecast"], atol=0.3)
+        assert got[got["k"] == "short"].equals(want[want["k"] == "short"])
+    cut = fits.future_forecasts(small, facts, "Holt-Winters", 2).where("k = 'long'").first()["status"]
+    assert cut == "fitted on the last 300 rows"
+
+
+def test_smoothing_in_stretches_is_the_sequential_pass():
+    for n, m, trend in ((700, 12, True), (1500, 0, True), (1300, 60, False)):
+        y = season(n, m or 12, slope=0.02, noise=1.0)
+        model = HoltWinters.__new__(HoltWinters)
+        model.y, model.trend, model.season = y, trend, m
+        u = np.array([[-2.0, -2.0, -2.0], [0.5, -1.0, -3.0]])
+        out, (level, slope, seasons) = model._errors(u)
+        units = 1 + trend + m
+        first = np.concatenate([np.zeros((2, units, 1)), np.broadcast_to(np.eye(units), (2, units, units))], axis=2)
+        inputs = np.zeros((n, 1 + units))
+        inputs[:, 0] = y
+        errors, _ = model._steps(u, inputs, model._states(first))
+        for c in range(2):
+            start = np.linalg.lstsq(errors[:, c, 1:], -errors[:, c, 0], rcond=1e-10)[0]
+            assert np.allclose(out[:, c], errors[:, c] @ np.r_[1.0, start], atol=1e-6)

@@ -10,6 +10,8 @@ from statistics import NormalDist
 
 import numpy as np
 
+from tideline.functions.recursion import STRETCH, Family, normal_sums, series_sums
+
 BUMP = 1e-6
 EDGE = 0.9999  # partial autocorrelations stay this far inside the unit circle
 
@@ -26,17 +28,19 @@ def least_squares(residuals, start: np.ndarray, free: np.ndarray, rounds: int =
 
     def evaluate(at):
         copies = (at[:, None, :] + bumps[None]).reshape(-1, size)
-        r = residuals(copies, lane).reshape(-1, lanes, size + 1)
-        base = r[:, :, 0]
-        slopes = np.moveaxis((r[:, :, 1:] - base[:, :, None]) / BUMP * free, 1, 0)
-        square = np.matmul(slopes.transpose(0, 2, 1), slopes)
-        pull = np.matmul(slopes.transpose(0, 2, 1), base.T[:, :, None])[:, :, 0]
-        return (base**2).sum(axis=0), square, pull
+        return normal_sums(residuals(copies, lane), lanes, BUMP, free)
+
+    return descend(evaluate, start, free, rounds)
+
 
+def descend(evaluate, start: np.ndarray, free: np.ndarray, rounds: int = 40):
+    """Levenberg-Marquardt where ``evaluate(params)`` gives the sum of squares and the sums of the
+    normal equations per problem, wherever they are added up."""
+    size = start.shape[1]
     with np.errstate(all="ignore"):
         at = start * free
         cost, square, pull = evaluate(at)
-        damping = np.full(lanes, 1e-3)
+        damping = np.full(len(start), 1e-3)
         for _ in range(rounds):
             scale = np.maximum(np.einsum("lii->li", square), 1e-12)
             system = square + (damping[:, None] * scale)[:, :, None] * np.eye(size)
@@ -246,6 +250,70 @@ def fit_sarima(y: np.ndarray, d: int, m: int, orders: list[tuple[int, int, int,
     return fits
 
 
+def arima_family(orders: list[tuple[int, int]], mean: bool) -> Family:
+    """ARMA candidates ``(p, q)`` given their first ``p`` values."""
+    width = max(max(p, q) for p, q in orders) or 1
+    free = np.array([[i < p for i in range(width)] + [i < q for i in range(width)] + [mean] for p, q in orders], float)
+
+    def terms(params):
+        ar, ma = _from_partials(params[:, :width]), -_from_partials(params[:, width : 2 * width])
+        return ar.T, ma.T, params[:, -1] * mean
+
+    return Family(np.arange(1, width + 1), free, np.array([p for p, _ in orders]), terms)
+
+
+def sarima_family(orders: list[tuple[int, int, int, int]], m: int) -> Family:
+    """Seasonal candidates ``(p, q, P, Q)`` given their first ``p + m P`` values."""
+    free = np.array([[p > 0, p > 1, q > 0, q > 1, sp > 0, sq > 0] for p, q, sp, sq in orders], float)
+    skip = np.array([p + m * sp for p, q, sp, sq in orders])
+    return Family(np.array([1, 2, m, m + 1, m + 2]), free, skip, lambda params: (*_seasonal_terms(params), np.zeros(len(params))))
+
+
+def named_orders(orders, d: int, m: int) -> list[tuple]:
+    """Orders ``(p, d, q, P, D, Q, m)`` of candidates ``(p, q)`` or ``(p, q, P, Q)``."""
+    return [(o[0], d, o[1], o[2], d, o[3], m) if len(o) == 4 else (o[0], d, o[1], 0, 0, 0, 0) for o in orders]
+
+
+def fits_of(family: Family, names: list[tuple], params, cost, n: int, scale: float, centre: float, tail: np.ndarray, last) -> list[Fit]:
+    """The fitted candidates: ``n`` rows after differencing, the last values ``tail`` of the series
+    itself, and the last errors ``last(i)`` of candidate ``i`` in units of ``scale``."""
+    ar, ma, mean = family.terms(params)
+    fits = []
+    for i, (name, free) in enumerate(zip(names, family.free)):
+        if not np.isfinite(cost[i]) or cost[i] <= 0:
+            continue
+        d, seasonal, m = name[1], name[4], name[6]
+        rows = n - family.skip[i]
+        variance = cost[i] / rows * scale**2
+        counted = rows if seasonal or m else n  # the same rows for candidates that are compared
+        aic = counted * (np.log(2 * np.pi * variance) + 1) + 2 * (free.sum() + 1)
+        lags, size = family.lags, family.deepest
+        fits.append(
+            Fit(
+                name, tail, _lag_polynomial(ar[:, i], lags, size, -1), _lag_polynomial(ma[:, i], lags, size, 1),
+                centre + mean[i] * scale, last(i) * scale, variance, aic, m=max(m, 1), d=d, seasonal=seasonal,
+            )
+        )
+    return fits
+
+
+def fit_long(y: np.ndarray, d: int, orders: list[tuple], m: int = 0) -> list[Fit]:
+    """Conditional least squares for every candidate over all of a long series: ``(p, q)``, or
+    ``(p, q, P, Q)`` with a season of ``m`` rows. Memory holds the series and one block of errors."""
+    seasonal = m > 0
+    family = sarima_family(orders, m) if seasonal else arima_family(orders, d == 0)
+    w = _difference(y, d, d if seasonal else 0, m)
+    centre = w.mean() if d == 0 and not seasonal else 0.0
+    scale = w.std() or 1.0
+    rows = np.concatenate([np.zeros(family.deepest), (w - centre) / scale])
+    params, cost = descend(lambda at: series_sums(family, rows, at, BUMP)[0], np.full(family.free.shape, 0.1), family.free)
+    with np.errstate(all="ignore"):
+        _, state = series_sums(family, rows, params, BUMP)
+    last = state[:, :: params.shape[1] + 1]
+    keep = family.deepest + d * (1 + m) + 1
+    return fits_of(family, named_orders(orders, d, m), params, cost, len(w), scale, centre, y[-keep:], lambda i: last[:, i])
+
+
 class HoltWinters:
     """Additive exponential smoothing minimising squared one-step errors.
 
@@ -271,40 +339,80 @@ class HoltWinters:
         alpha = share[:, 0]
         return alpha, alpha * share[:, 1], (1 - alpha) * share[:, 2]
 
-    def _errors(self, u: np.ndarray):
-        y, m, copies = self.y, self.season, len(u)
-        # Column 0 runs the data from a zero state; the others run each unit state on zeros.
-        units = 1 + int(self.trend) + m
+    def _steps(self, u: np.ndarray, y: np.ndarray, states: list[np.ndarray]):
+        """Errors ``(steps, copies, columns)`` and the states after ``y`` (steps, columns) for state columns side by side."""
+        m = self.season
         alpha, beta, gamma = (w[:, None] for w in self.weights(u))
         beta, gamma = beta * self.trend, gamma * (m > 0)
-        level = np.zeros((copies, units + 1))
-        slope = np.zeros((copies, units + 1))
-        seasons = np.zeros((max(m, 1), copies, units + 1))
-        level[:, 1] = 1.0
-        if self.trend:
-            slope[:, 2] = 1.0
-        for j in range(m):
-            seasons[j, :, 1 + int(self.trend) + 1 + j] = 1.0
-        errors = np.empty((len(y), copies, units + 1))
+        level, slope, seasons = states
+        errors = np.empty((len(y), *level.shape))
         for t in range(len(y)):
             spot = t % m if m else 0
             base = level + slope
-            e = -base - seasons[spot]
-            e[:, 0] += y[t]
+            e = y[t] - base - seasons[spot]
             errors[t] = e
             level = base + alpha * e
             slope = slope + beta * e
             seasons[spot] = seasons[spot] + gamma * e
-        out = np.empty((len(y), copies))
-        states = [np.empty(copies), np.empty(copies), np.empty((max(m, 1), copies))]
+        return errors, [level, slope, seasons]
+
+    def _vectors(self, states: list[np.ndarray]) -> np.ndarray:
+        """States as vectors ``(copies, units, columns)``: level, slope with a trend, seasons."""
+        level, slope, seasons = states
+        parts = [level[:, None], slope[:, None]][: 1 + int(self.trend)]
+        return np.concatenate(parts + [seasons[: self.season].transpose(1, 0, 2)], axis=1)
+
+    def _states(self, vectors: np.ndarray) -> list[np.ndarray]:
+        copies, _, columns = vectors.shape
+        slope = vectors[:, 1] if self.trend else np.zeros((copies, columns))
+        seasons = vectors[:, 1 + int(self.trend) :].transpose(1, 0, 2) if self.season else np.zeros((1, copies, columns))
+        return [vectors[:, 0].copy(), slope.copy(), seasons.copy()]
+
+    def _errors(self, u: np.ndarray):
+        """Errors ``(n, copies)`` and the last states, from the best starting state of each copy.
+
+        Stretches of the series run side by side from a zero state, next to each unit state on zeros;
+        the states before the stretches follow as affine functions of the first one."""
+        y, m, copies = self.y, self.season, len(u)
+        units = 1 + int(self.trend) + m
+        steps = max(m, 1) * -(-STRETCH // max(m, 1))
+        full = len(y) // steps if len(y) >= 2 * steps else 0
+        eye = np.broadcast_to(np.eye(units), (copies, units, units))
+        fixed, moves = np.zeros((copies, units, 1)), eye  # state here: fixed + moves @ first
+        designs, targets, stretches = [], [], []
+        if full:
+            inputs = np.zeros((steps, full + units))
+            inputs[:, :full] = y[: full * steps].reshape(full, steps).T
+            zero = np.concatenate([np.zeros((copies, units, full)), eye], axis=2)
+            errors, after = self._steps(u, inputs, self._states(zero))
+            after = self._vectors(after)
+            response = errors[:, :, full:].transpose(1, 0, 2)  # copies, steps, units
+            q, r = np.linalg.qr(response) if np.isfinite(response).all() else (response * np.nan, eye * np.nan)
+            for j in range(full):
+                base = errors[:, :, j].T[:, :, None] + response @ fixed
+                stretches.append((base, moves))
+                designs.append(r @ moves)
+                targets.append(-(q.transpose(0, 2, 1) @ base))
+                fixed = after[:, :, full:] @ fixed + after[:, :, j : j + 1]
+                moves = after[:, :, full:] @ moves
+        rest = y[full * steps :]
+        inputs = np.zeros((len(rest), 1 + units))
+        inputs[:, 0] = rest
+        errors, after = self._steps(u, inputs, self._states(np.concatenate([fixed, moves], axis=2)))
+        tail = errors.transpose(1, 0, 2)
+        designs.append(tail[:, :, 1:])
+        targets.append(-tail[:, :, :1])
+        design, target = np.concatenate(designs, axis=1), np.concatenate(targets, axis=1)[:, :, 0]
+        first = np.full((copies, units), np.nan)
         for c in range(copies):
-            moved = errors[:, c, 1:]
-            start = np.linalg.lstsq(moved, -errors[:, c, 0], rcond=1e-10)[0]
-            mix = np.r_[1.0, start]
-            out[:, c] = errors[:, c] @ mix
-            states[0][c], states[1][c] = level[c] @ mix, slope[c] @ mix
-            states[2][:, c] = seasons[:, c] @ mix
-        return out, states
+            if np.isfinite(design[c]).all() and np.isfinite(target[c]).all():
+                first[c] = np.linalg.lstsq(design[c], target[c], rcond=1e-10)[0]
+        mix = np.concatenate([np.ones((copies, 1)), first], axis=1)
+        parts = [(base[:, :, 0] + (response @ (move @ first[:, :, None]))[:, :, 0]) for base, move in stretches]
+        out = np.concatenate([*parts, (tail @ mix[:, :, None])[:, :, 0]], axis=1).T
+        last = self._vectors(after) @ mix[:, :, None]
+        level, slope, seasons = self._states(last)
+        return out, [level[:, 0], slope[:, 0], seasons[:, :, 0]]
 
     def forecast(self, steps: int) -> np.ndarray:
         ahead = np.arange(1, steps + 1)

@@ -1,7 +1,8 @@
-"""ARIMA, seasonal ARIMA and Holt-Winters, one task per series and model.
+"""ARIMA, seasonal ARIMA and Holt-Winters, one task per series and group of candidates.
 
-A fit runs through time step by step, so a series is the unit of work and is bounded
-below 100,000 rows: training thins longer ones, forecasts fit their latest rows."""
+Training thins series of 100,000 rows and more. Forecasts fit all rows: shorter series by the exact
+likelihood, longer ones in stretches that run side by side (``functions/recursion.py``), and ARIMA
+models of series too long for one task in chunks over many (``longfits.py``)."""
 
 from __future__ import annotations
 
@@ -13,14 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.fitting import HoltWinters, fit_arima, fit_sarima
+from tideline.functions.fitting import Fit, HoltWinters, fit_arima, fit_long, fit_sarima
+from tideline.operators.longfits import Job, fit_panel
 from tideline.operators.regularize import MODEL_ROWS, thin
 from tideline.operators.split import positions
 from tideline.panel import Panel
+from tideline.session import settle
 
 SARIMA_ROWS = 30
 SMOOTHING_ROWS = 20
 DEFAULT_PERIOD = 12
+LONG_ROWS = 2 * MODEL_ROWS  # from here on a task fits a series in stretches
 
 ORDER = ["p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "m"]
 ORDER_SCHEMA = ", ".join(f"{c} int" for c in ORDER)
@@ -47,31 +51,65 @@ def sarima_grid(n: int, d: int) -> list[tuple[int, int, int, int]]:
     ]
 
 
-def _best_on_test(fits: list, actual: np.ndarray):
-    """The candidate with the least test RMSE rounded to four digits; the first wins ties."""
-    best = None
-    for fit in fits:
-        predicted = fit.forecast(len(actual))
-        error = round(float(np.sqrt(np.mean((predicted - actual) ** 2))), 4)
-        if np.isfinite(error) and (best is None or error < best[0]):
-            best = (error, fit.order, predicted)
-    if best is None:
-        raise ValueError("no candidate could be fitted")
-    return best[1], best[2]
+@dataclass(frozen=True)
+class Grid:
+    """A trainer that tries candidates, which different tasks may share: ``candidates(row, n)`` and
+    ``fit(row, y, candidates)``."""
 
+    candidates: Callable
+    fit: Callable
 
-def _train_arima(row, y, actual):
-    d = int(row["recommended_d"])
-    return _best_on_test(fit_arima(y, d, arima_grid(len(y), d)), actual)
+    def share(self, row, n: int, lane: int, lanes: int) -> list[tuple[int, tuple]]:
+        """The candidates of a lane with their places in the grid; like sizes go together."""
+        ranked = sorted(enumerate(self.candidates(row, n)), key=lambda c: (max(c[1]), c[0]))
+        return ranked[len(ranked) * lane // lanes : len(ranked) * (lane + 1) // lanes]
+
+    def __call__(self, row, y: np.ndarray, actual: np.ndarray):
+        _, _, order, predicted = self.on_test(row, y, actual, 0, 1)
+        return order, predicted
+
+    def on_test(self, row, y: np.ndarray, actual: np.ndarray, lane: int, lanes: int):
+        """Error, place, order and forecast of the lane's candidate with the least test RMSE
+        rounded to four digits; the first in the grid wins ties. None for a lane without candidates."""
+        shared = self.share(row, len(y), lane, lanes)
+        if not shared:
+            return None
+        places = {c: i for i, c in shared}
+        best = None
+        for fit in self.fit(row, y, [c for _, c in shared]):
+            predicted = fit.forecast(len(actual))
+            error = round(float(np.sqrt(np.mean((predicted - actual) ** 2))), 4)
+            place = places[_candidate(fit.order, len(shared[0][1]))]
+            if np.isfinite(error) and (best is None or (error, place) < best[:2]):
+                best = (error, place, fit.order, predicted)
+        if best is None:
+            raise ValueError("no candidate could be fitted")
+        return best
+
+
+def _candidate(order: tuple, length: int) -> tuple:
+    p, _, q, sp, _, sq, _ = order
+    return (p, q) if length == 2 else (p, q, sp, sq)
+
+
+def _arima_candidates(row, n: int) -> list:
+    return arima_grid(n, int(row["recommended_d"]))
+
+
+def _fit_arima(row, y: np.ndarray, candidates: list) -> list[Fit]:
+    return fit_arima(y, int(row["recommended_d"]), candidates)
 
 
-def _train_sarima(row, y, actual):
-    if len(y) < SARIMA_ROWS:
+def _sarima_candidates(row, n: int) -> list:
+    if n < SARIMA_ROWS:
         raise ValueError("fewer than 30 points")
     if not row["seasonal_period"] >= 2:
         raise ValueError("no seasonal period")
-    d, m = int(row["recommended_d"]), int(row["seasonal_period"])
-    return _best_on_test(fit_sarima(y, d, m, sarima_grid(len(y), d)), actual)
+    return sarima_grid(n, int(row["recommended_d"]))
+
+
+def _fit_sarima(row, y: np.ndarray, candidates: list) -> list[Fit]:
+    return fit_sarima(y, int(row["recommended_d"]), int(row["seasonal_period"]), candidates)
 
 
 def _season_length(row, seasonal: bool, n: int) -> int:
@@ -93,31 +131,41 @@ def _train_smoothing(row, y, actual):
 
 
 TRAINERS: dict[str, Callable] = {
-    "ARIMA": _train_arima,
-    "SARIMA": _train_sarima,
+    "ARIMA": Grid(_arima_candidates, _fit_arima),
+    "SARIMA": Grid(_sarima_candidates, _fit_sarima),
     "Holt-Winters": _train_smoothing,
 }
 
 
-def _future_arima(row, y, steps, level):
+def _future_orders(model: str, row) -> tuple[int, list[tuple], int]:
+    """Differencing, candidates and season of a forecast on the whole series."""
     d = int(row["recommended_d"])
-    grid = [(p, q) for p in range(4) for q in range(4) if p or d or q]
-    fits = [f for f in fit_arima(y, d, grid) if np.isfinite(f.aic)]
+    if model == "ARIMA":
+        return d, [(p, q) for p in range(4) for q in range(4) if p or d or q], 0
+    known = row["seasonal_period"]
+    m = int(known) if known == known and known is not None else DEFAULT_PERIOD
+    if m < 2:
+        raise ValueError("no seasonal period")
+    return d, [(1, 1, 1, 1)], m
+
+
+def _chosen(fits: list[Fit], steps: int, level: float):
+    """Order, forecast and half widths of the fit with the least AIC."""
+    fits = [f for f in fits if np.isfinite(f.aic)]
     if not fits:
         raise ValueError("no candidate could be fitted")
     best = min(fits, key=lambda f: f.aic)
     return best.order, best.forecast(steps), best.interval(steps, level)
 
 
+def _future_arima(row, y, steps, level):
+    d, grid, _ = _future_orders("ARIMA", row)
+    return _chosen(fit_arima(y, d, grid) if len(y) < LONG_ROWS else fit_long(y, d, grid), steps, level)
+
+
 def _future_sarima(row, y, steps, level):
-    known = row["seasonal_period"]
-    m = int(known) if known == known and known is not None else DEFAULT_PERIOD
-    if m < 2:
-        raise ValueError("no seasonal period")
-    fits = fit_sarima(y, int(row["recommended_d"]), m, [(1, 1, 1, 1)])
-    if not fits:
-        raise ValueError("no candidate could be fitted")
-    return fits[0].order, fits[0].forecast(steps), fits[0].interval(steps, level)
+    d, grid, m = _future_orders("SARIMA", row)
+    return _chosen(fit_sarima(y, d, m, grid) if len(y) < LONG_ROWS else fit_long(y, d, grid, m), steps, level)
 
 
 def _future_smoothing(row, y, steps, level):
@@ -167,35 +215,95 @@ def recent(panel: Panel, limit: int = MODEL_ROWS) -> DataFrame:
     return placed.where(~F.col("_cut") | (F.col("_pos") >= n - limit)).drop("_n", "_pos")
 
 
-def train_forecasts(split: Panel, facts: DataFrame, model: str, registry: Registry = BUILT_IN) -> DataFrame:
+def lanes_for(panel: Panel, most: int = 16) -> int:
+    """Tasks that share a series' candidates: as many as keep the cores busy with the series there are."""
+    cores = panel.df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(most, -(-cores // max(panel.size.series, 1))))
+
+
+def train_forecasts(split: Panel, facts: DataFrame, model: str, registry: Registry = BUILT_IN, lanes: int | None = None) -> DataFrame:
     """Test rows of one model with its order; a failed fit is one row with the reason as ``status``.
 
-    ``facts`` holds per series what the model asks for: differencing, season, trend."""
+    ``facts`` holds per series what the model asks for: differencing, season, trend. The candidates of a
+    grid are shared among ``lanes`` tasks per series (by default by the cores there are)."""
     if split.size.largest >= 2 * MODEL_ROWS:
         split = thin(split)
     keys, train = split.keys, registry.trainers[model]
     wanted = ["recommended_d", "seasonal_period", "seasonality", "trend_direction"]
     rows = split.attach(split.df.select(*keys, "ts", "value", "is_train"), facts.select(*keys, *wanted))
+    lanes = 1 if not isinstance(train, Grid) else lanes or lanes_for(split)
+    names = [*keys, "model", "ts", "value", "yhat", *ORDER, "status"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
         first = group.iloc[0]
         tests = group[~group["is_train"]]
+        error, place, lane = None, 0, int(first["_lane"])
         try:
             actual = tests["value"].to_numpy(float)
-            order, predicted = train(first, group.loc[group["is_train"], "value"].to_numpy(float), actual)
+            fitted = group.loc[group["is_train"], "value"].to_numpy(float)
+            if lanes == 1:
+                order, predicted = train(first, fitted, actual)
+            else:
+                found = train.on_test(first, fitted, actual, lane, lanes)
+                if found is None:
+                    return pd.DataFrame(columns=[*names, "_lane", "_error", "_place"])
+                error, place, order, predicted = found
             out = pd.DataFrame({"ts": tests["ts"], "value": actual, "yhat": predicted, "status": "ok"})
-        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as failure:
             order = (None,) * 7
-            out = pd.DataFrame({"ts": [pd.NaT], "value": [np.nan], "yhat": [np.nan], "status": [f"failed: {error}"]})
+            out = pd.DataFrame({"ts": [pd.NaT], "value": [np.nan], "yhat": [np.nan], "status": [f"failed: {failure}"]})
         for name, part in zip(ORDER, order):
             out[name] = pd.array([part] * len(out), dtype="Int32")
         for key in keys:
             out[key] = first[key]
-        return out.assign(model=model)[[*keys, "model", "ts", "value", "yhat", *ORDER, "status"]]
+        out = out.assign(model=model, _lane=lane, _error=np.nan if error is None else error, _place=place)
+        return out[[*names, "_lane", "_error", "_place"]]
 
     schema = f"{_key_schema(split)}, model string, ts timestamp_ntz, value double, yhat double, {ORDER_SCHEMA}, status string"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    schema += ", _lane int, _error double, _place int"
+    rows = rows.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    done = rows.groupBy(*keys, "_lane").applyInPandas(run, schema)
+    if lanes > 1:  # the best of the lanes; lanes without a fit stand last (NaN is the greatest number)
+        done = settle(done)
+        heads = done.groupBy(*keys).agg(F.min(F.struct("_error", "_place", "_lane")).alias("_best"))
+        heads = heads.select(*keys, F.col("_best._lane").alias("_chosen"))
+        done = split.attach(done, heads).where("_lane = _chosen")
+    return done.select(*names)
+
+
+def _huge(panel: Panel) -> DataFrame | None:
+    """Keys of the series too long for one task."""
+    if panel.size.largest < 2 * panel.group_rows:
+        return None
+    counts = panel.df.groupBy(*panel.keys).agg(F.count("*").alias("_n"))
+    return settle(counts.where(F.col("_n") >= 2 * panel.group_rows).select(*panel.keys))
+
+
+def _huge_forecasts(panel: Panel, huge: DataFrame, facts: DataFrame, model: str, steps: int, level: float, schema: str) -> DataFrame:
+    """Forecasts of the named series, fitted chunk by chunk. Their number is at most the rows over
+    ``2 * group_rows``, so their facts and forecasts fit the driver."""
+    rows, jobs = [], {}
+    blank = (None,) * 7
+
+    def failed(key: tuple, why: object) -> list[tuple]:
+        return [(*key, model, step, None, None, None, *blank, f"failed: {why}") for step in range(1, steps + 1)]
+
+    for fact in huge.join(facts, panel.keys).collect():
+        key = tuple(fact[k] for k in panel.keys)
+        try:
+            jobs[key] = Job(*_future_orders(model, fact))
+        except ValueError as why:
+            rows += failed(key, why)
+    for key, fits in fit_panel(panel, jobs).items() if jobs else ():
+        try:
+            order, forecast, half = _chosen(fits, steps, level)
+        except ValueError as why:
+            rows += failed(key, why)
+            continue
+        order = [int(o) for o in order]
+        rows += [(*key, model, i + 1, float(f), float(f - h), float(f + h), *order, "ok") for i, (f, h) in enumerate(zip(forecast, half))]
+    return panel.df.sparkSession.createDataFrame(rows, schema)
 
 
 def future_forecasts(
@@ -203,10 +311,20 @@ def future_forecasts(
 ) -> DataFrame:
     """Rows ``(keys, model, step, forecast, lower, upper, order, status)`` from a fit on the whole series.
 
-    A series too long for one task is fitted on its ``recent`` rows, and ``status`` says so."""
+    Series too long for one task are fitted in chunks by the ARIMA models; the others take their
+    ``recent`` rows, as many as a task holds, and ``status`` says so."""
     keys, predict = panel.keys, registry.forecasters[model]
     wanted = ["recommended_d", "seasonal_period", "seasonality", "trend_direction"]
-    rows = panel.attach(recent(panel), facts.select(*keys, *wanted))
+    schema = (
+        f"{_key_schema(panel)}, model string, step int, forecast double, lower double, upper double, "
+        f"{ORDER_SCHEMA}, status string"
+    )
+    huge = _huge(panel) if predict in (_future_arima, _future_sarima) else None
+    if huge is None:
+        source = recent(panel, panel.group_rows)
+    else:
+        source = panel.df.join(F.broadcast(huge), keys, "left_anti").select(*keys, "ts", "value", F.lit(False).alias("_cut"))
+    rows = panel.attach(source, facts.select(*keys, *wanted))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
@@ -227,11 +345,9 @@ def future_forecasts(
             [*keys, "model", "step", "forecast", "lower", "upper", *ORDER, "status"]
         ]
 
-    schema = (
-        f"{_key_schema(panel)}, model string, step int, forecast double, lower double, upper double, "
-        f"{ORDER_SCHEMA}, status string"
-    )
     fitted = rows.groupBy(*keys).applyInPandas(run, schema)
+    if huge is not None:
+        fitted = fitted.unionByName(_huge_forecasts(panel, huge, facts, model, steps, level, schema))
     blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return fitted.select(
         *keys, "model", "step", blank("forecast"), blank("lower"), blank("upper"), *ORDER, "status"
