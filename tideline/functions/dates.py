@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +22,16 @@ def _try_format(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
-def _in_range(stamp: Column) -> Column:
-    """The stamp without zone, or NULL outside the years 1 to 9999."""
-    plain = stamp.cast("timestamp_ntz")
+def _in_range(plain: Column) -> Column:
+    """The stamp, or NULL outside the years 1 to 9999."""
     first, last = (F.lit(edge).cast("timestamp_ntz") for edge in (FIRST_STAMP, LAST_STAMP))
     return F.when(plain.between(first, last), plain)
 
 
-def trimmed(text: Column) -> Column:
-    clean = F.trim(text)
-    return F.when(~clean.isin(NULL_MARKERS), clean)
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once however often ``make`` uses it. The optimizer copies
+    a plain expression into every place that names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def text_to_time(text: Column, dayfirst: bool = False) -> Column:
@@ -37,17 +39,22 @@ def text_to_time(text: Column, dayfirst: bool = False) -> Column:
 
     Each value is read month first, and day first where that fails (the other way
     round with ``dayfirst``)."""
-    s = trimmed(text.cast("string"))
+    parsed = lambda s: bound(_parsed(s, dayfirst).cast("timestamp_ntz"), _in_range)
+    return bound(F.trim(text.cast("string")), lambda s: F.when(~s.isin(NULL_MARKERS), parsed(s)))
+
+
+def _parsed(s: Column, dayfirst: bool) -> Column:
+    """The stamp that a trimmed text spells, by its shape."""
     slashed = F.regexp_replace(s, "[.-]", "/")
     month_first = _try_format(slashed, "M/d/yyyy[ H:mm[:ss]]")
     day_first = _try_format(slashed, "d/M/yyyy[ H:mm[:ss]]")
     numeric_order = [day_first, month_first] if dayfirst else [month_first, day_first]
     worded = F.regexp_replace(s, ",", "")
-    parsed = (
-        F.when(s.rlike(r"^\d{4}$"), _try_format(s, "yyyy"))
+    return (
+        F.when(s.rlike(r"^\d{4}-"), s.try_cast("timestamp"))
+        .when(s.rlike(r"^\d{4}$"), _try_format(s, "yyyy"))
         .when(s.rlike(r"^\d{8}$"), _try_format(s, "yyyyMMdd"))
         .when(s.rlike(r"^\d{4}/"), F.regexp_replace(s, "/", "-").try_cast("timestamp"))
-        .when(s.rlike(r"^\d{4}-"), s.try_cast("timestamp"))
         .when(s.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"), F.coalesce(*numeric_order))
         .when(
             s.rlike(r"^[A-Za-z]{3,9} \d{1,2},? \d{4}"),
@@ -58,7 +65,6 @@ def text_to_time(text: Column, dayfirst: bool = False) -> Column:
             F.coalesce(_try_format(s, "d MMM yyyy"), _try_format(s, "d MMMM yyyy")),
         )
     )
-    return _in_range(parsed)
 
 
 def number_to_time(value: Column, unit: str) -> Column:
@@ -70,7 +76,7 @@ def number_to_time(value: Column, unit: str) -> Column:
     else:
         scale = {"s": 1e6, "ms": 1e3}[unit]
         us = F.round(v * F.lit(scale)).try_cast("bigint")
-    return _in_range(F.timestamp_micros(us))
+    return _in_range(F.timestamp_micros(us).cast("timestamp_ntz"))
 
 
 def number_unit(median: float | None, parsed: dict[str, float]) -> str | None:
