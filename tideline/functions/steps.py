@@ -66,3 +66,29 @@ def steps_between(start: Column, end: Column, code: Column, month_ends: Column |
     rough = F.floor(apart / months).cast("long")
     whole = F.when(advance(start, code, rough, month_ends) > end, rough - 1).otherwise(rough)
     return F.when(fixed.isNotNull(), F.floor((micros(end) - micros(start)) / fixed)).otherwise(whole).cast("long")
+
+
+def calendar_start(stamp: Column, code: Column) -> Column:
+    """The first anchor of the calendar at or after a stamp, at its time of day: Sundays for weeks,
+    the last day of months, quarters and years (``MS``, ``QS``, ``YS``: the first); other steps have none."""
+    day = F.to_date(stamp)
+    quarter, year = F.trunc(day, "quarter"), F.trunc(day, "year")
+    month = F.trunc(day, "month")
+    at_or_after = lambda first, months: F.when(day == first, first).otherwise(F.add_months(first, months))
+    anchored = (
+        F.when(code == "W", F.date_add(day, F.pmod(1 - F.dayofweek(day), F.lit(7))))
+        .when(code == "M", F.last_day(day))
+        .when(code == "Q", F.last_day(F.add_months(quarter, 2)))
+        .when(code == "Y", F.last_day(F.add_months(year, 11)))
+        .when(code == "MS", at_or_after(month, 1))
+        .when(code == "QS", at_or_after(quarter, 3))
+        .when(code == "YS", at_or_after(year, 12))
+        .otherwise(day)
+    )
+    clock = micros(stamp) - micros(F.date_trunc("day", stamp).cast("timestamp_ntz"))
+    return from_micros(micros(anchored.cast("timestamp_ntz")) + clock)
+
+
+def at_month_ends(code: Column) -> Column:
+    """Whether a calendar's anchors are last days of months."""
+    return code.isin("M", "Q", "Y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.steps import STEPS, advance
+from tideline.functions.steps import STEPS, advance, at_month_ends, calendar_start
 from tideline.operators.detect import detect_frequency
 from tideline.operators.split import positions
 from tideline.panel import Panel
@@ -116,12 +116,20 @@ def best_models(board: DataFrame, keys: list[str]) -> DataFrame:
     return board.where(F.col("place") == 1).select(*keys, F.col("model").alias("best_model"))
 
 
-def future_dates(panel: Panel, steps: int, frequency: DataFrame | None = None) -> DataFrame:
-    """``steps`` stamps after the last one of each series; irregular series step by days."""
+def future_dates(panel: Panel, steps: int, frequency: DataFrame | None = None, anchor: str = "first") -> DataFrame:
+    """``steps`` stamps after the last one of each series; irregular series step by days.
+
+    ``anchor="calendar"`` steps from the first anchor at or after the last stamp (which is not among
+    the stamps): on Sundays, and on the last day of months, quarters and years."""
+    if anchor not in ("first", "calendar"):
+        raise ValueError(f"no such anchor: {anchor}")
     frequency = detect_frequency(panel) if frequency is None else frequency
     code = F.when(F.col("code").isin(list(STEPS)), F.col("code")).otherwise("D")
     each = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
     ahead = frequency.select(*panel.keys, "last_ts", "month_ends", code.alias("_code"), each)
+    if anchor == "calendar":
+        start = calendar_start(F.col("last_ts"), F.col("_code"))
+        ahead = ahead.withColumns({"last_ts": start, "month_ends": at_month_ends(F.col("_code"))})
     stamp = advance(F.col("last_ts"), F.col("_code"), F.col("step"), F.col("month_ends"))
     return ahead.select(*panel.keys, "step", stamp.alias("ts"))
 

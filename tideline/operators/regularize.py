@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.steps import STEPS, advance, steps_between
+from tideline.functions.steps import STEPS, advance, at_month_ends, calendar_start, steps_between
 from tideline.operators.detect import detect_frequency
 from tideline.operators.quantile import summarise
 from tideline.operators.split import nearest_known, open_range, over_rows, positions
@@ -46,8 +46,9 @@ class Grid:
     report: DataFrame
 
 
-def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
-    """Lay unique stamps on the grid that starts at the first stamp.
+def to_grid(panel: Panel, frequency: DataFrame | None = None, anchor: str = "first") -> Grid:
+    """Lay unique stamps on the grid that starts at the first stamp, or with ``anchor="calendar"``
+    at the first Sunday or end of month, quarter or year from there on.
 
     The frequency (one row per series) is settled first, which also gives the size of
     the grid. Each row then emits the empty stamps up to the next row, so no calendar table is
@@ -56,6 +57,7 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     the grid, so later steps need not number the rows again."""
     keys = panel.keys
     frequency = settle(detect_frequency(panel) if frequency is None else frequency)
+    panel, frequency = _anchored(panel, frequency, anchor)
     steps = frequency.select(*keys, "code", "frequency", "month_ends", "first_ts", "last_ts")
     code, first, final, ends = F.col("code"), F.col("first_ts"), F.col("last_ts"), F.col("month_ends")
     stepped = code.isin(list(STEPS))
@@ -63,14 +65,15 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     size = Size(panel.size.series, max(panel.size.largest, (longest or 0) + 1))
     place = F.when(stepped, steps_between(first, F.col("ts"), code, ends))
     rows = panel.attach(panel.df, steps).withColumn("_place", place)
-    on_grid = ~stepped | code.isNull() | (advance(first, code, F.col("_place"), ends) == F.col("ts"))
-    last = F.when(stepped, steps_between(first, final, code, ends))
+    on_grid = (F.col("_place") >= 0) & (advance(first, code, F.col("_place"), ends) == F.col("ts"))
+    on_grid = ~stepped | code.isNull() | on_grid
+    last = F.when(stepped, F.greatest(steps_between(first, final, code, ends), F.lit(-1)))
     rows = rows.withColumns({"_on": on_grid, "_last": last})
 
     per_series = rows.groupBy(*keys).agg(
         F.first("frequency").alias("frequency"),
-        F.count("*").alias("_rows"),
-        F.sum(F.col("_on").cast("long")).alias("_kept"),
+        F.sum((~F.col("_seed")).cast("long")).alias("_rows"),
+        F.sum((F.col("_on") & ~F.col("_seed")).cast("long")).alias("_kept"),
         F.sum((F.col("_on") & F.col("value").isNotNull()).cast("long")).alias("_known"),
         F.first("_last").alias("_last"),
     )
@@ -93,11 +96,29 @@ def to_grid(panel: Panel, frequency: DataFrame | None = None) -> Grid:
     stamp = F.when(own, F.col("ts")).otherwise(advance(first, code, F.col("_at"), ends))
     placed = [F.coalesce("_at", "_was").alias("pos")] if "pos" in panel.df.columns else []
     filled = opened.select(
-        *keys, stamp.alias("ts"), F.when(own, F.col("value")).alias("value"), own.alias("observed"), *placed
+        *keys, stamp.alias("ts"), F.when(own, F.col("value")).alias("value"), (own & ~F.col("_seed")).alias("observed"), *placed
     )
     return Grid(panel.derive(filled, size=size), report)
 
 
+def _anchored(panel: Panel, frequency: DataFrame, anchor: str) -> tuple[Panel, DataFrame]:
+    """The panel and its frequency with the grid's start. A series without a row at the start of
+    its calendar gets an empty one there (``_seed``), from which the grid opens."""
+    if anchor not in ("first", "calendar"):
+        raise ValueError(f"no such anchor: {anchor}")
+    rows = panel.df.withColumn("_seed", F.lit(False))
+    if anchor == "first":
+        return panel.derive(rows), frequency
+    code = F.col("code")
+    start = F.when(code.isin(list(STEPS)), calendar_start(F.col("first_ts"), code)).otherwise(F.col("first_ts"))
+    frequency = frequency.withColumns({"first_ts": start, "month_ends": at_month_ends(code)})
+    starts = frequency.where(code.isin(list(STEPS)) & (F.col("first_ts") <= F.col("last_ts"))).select(*panel.keys, "first_ts")
+    there = panel.attach(rows, starts).groupBy(*panel.keys, "first_ts").agg(F.max(F.col("ts") == F.col("first_ts")).alias("_there"))
+    seeds = there.where(~F.col("_there")).select(*panel.keys, F.col("first_ts").alias("ts"), F.lit(True).alias("_seed"))
+    more = Size(panel.size.series, panel.size.largest + 1)
+    return panel.derive(rows.unionByName(seeds, allowMissingColumns=True), size=more), frequency
+
+
 def interpolate_time(panel: Panel) -> DataFrame:
     """Linear in time between known values; both ends take the nearest known value."""
     near = nearest_known(panel.derive(panel.df.withColumn("_us", micros("ts"))), "_us")

@@ -51,6 +51,36 @@ def fill_missing_months(spark: SparkSession, folder: str) -> DataFrame:
     return reg.to_grid(tables.supplier_monthly(spark, folder)).panel.df
 
 
+_ON_CALENDAR = "SELECT c.k, c.ts, p.value, p.k IS NOT NULL AS observed FROM c LEFT JOIN p ON p.k = c.k AND p.ts = c.ts"
+
+
+@query(
+    sql.with_(
+        tables.SUPPLIER_WEEKLY,
+        "x AS (SELECT k, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY k)",
+        "c AS (SELECT k, unnest(generate_series(lo + to_days(CAST((7 - dayofweek(lo)) % 7 AS INTEGER)), hi, INTERVAL 7 DAY)) AS ts FROM x)",
+        select=_ON_CALENDAR,
+    )
+)
+def fill_calendar_weeks(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks end on Sundays: rows of another day leave their week empty."""
+    return reg.to_grid(tables.supplier_weekly(spark, folder), anchor="calendar").panel.df
+
+
+@query(
+    sql.with_(
+        tables.MID_MONTH,
+        "x AS (SELECT k, min(ts) AS lo, max(ts) AS hi FROM p GROUP BY k)",
+        "m AS (SELECT k, lo, hi, unnest(generate_series(date_trunc('month', lo)::TIMESTAMP, hi, INTERVAL 1 MONTH)) AS mo FROM x)",
+        "c AS (SELECT k, last_day(mo)::TIMESTAMP AS ts FROM m WHERE last_day(mo)::TIMESTAMP BETWEEN lo AND hi)",
+        select=_ON_CALENDAR,
+    )
+)
+def fill_calendar_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Months end on their last day: rows of another day leave their month empty."""
+    return reg.to_grid(tables.mid_month(spark, folder), anchor="calendar").panel.df
+
+
 @query(
     sql.with_(
         tables.GAPPY_DAILY, sql.GRID, sql.TIME_FILL, select="SELECT k, ts, round(value, 6) AS value FROM filled"

@@ -301,6 +301,19 @@ def next_dates(spark: SparkSession, folder: str) -> DataFrame:
     return base.future_dates(tables.priority_daily(spark, folder), 30)
 
 
+@query(
+    sql.with_(
+        tables.MID_MONTH,
+        "x AS (SELECT k, max(ts) AS hi FROM p GROUP BY k)",
+        select="""SELECT k, CAST(step AS INTEGER) AS step, last_day(date_trunc('month', hi) + to_months(CAST(step AS INTEGER)))::TIMESTAMP AS ts
+        FROM x, (SELECT unnest(range(1, 19)) AS step)""",
+    )
+)
+def next_calendar_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Month ends after the one that the last stamp's month has."""
+    return base.future_dates(tables.mid_month(spark, folder), 18, anchor="calendar")
+
+
 _LEVELS = """
 u AS (SELECT k, arg_max(value, pos) AS naive,
              avg(value) FILTER (pos >= n - least(10, greatest(3, n // 10))) AS average FROM v GROUP BY k),

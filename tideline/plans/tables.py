@@ -81,6 +81,37 @@ p AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, s
       FROM lineitem GROUP BY 1, 2)"""
 
 
+def supplier_weekly(spark: SparkSession, folder: str) -> Panel:
+    """Weekly quantity per supplier, labelled by Sunday or (odd suppliers) by Monday; some weeks are missing."""
+    lines = table(spark, folder, "lineitem")
+    monday = F.date_trunc("week", "l_shipdate").cast("timestamp_ntz")
+    label = F.when(F.col("l_suppkey") % 2 == 0, monday + F.expr("INTERVAL 6 DAYS")).otherwise(monday)
+    return _panel(lines.groupBy(F.col("l_suppkey").alias("k"), label.alias("ts")).agg(F.sum("l_quantity").alias("value")))
+
+
+SUPPLIER_WEEKLY = """
+p AS (SELECT l_suppkey AS k,
+             date_trunc('week', l_shipdate)::TIMESTAMP + CASE WHEN l_suppkey % 2 = 0 THEN INTERVAL 6 DAY ELSE INTERVAL 0 DAY END AS ts,
+             sum(l_quantity) AS value
+      FROM lineitem GROUP BY 1, 2)"""
+
+
+def mid_month(spark: SparkSession, folder: str) -> Panel:
+    """Monthly revenue per order priority, labelled by the fifteenth, or (the first priorities) by the last day of the month."""
+    orders = table(spark, folder, "orders")
+    day = F.when(F.col("o_orderpriority") < "3", F.last_day("o_orderdate")).otherwise(F.date_add(F.trunc("o_orderdate", "month"), 14))
+    revenue = F.sum(F.floor("o_totalprice").cast("double")).alias("value")
+    return _panel(orders.groupBy(F.col("o_orderpriority").alias("k"), day.cast("timestamp_ntz").alias("ts")).agg(revenue))
+
+
+MID_MONTH = """
+p AS (SELECT o_orderpriority AS k,
+             CASE WHEN o_orderpriority < '3' THEN last_day(o_orderdate)::TIMESTAMP
+                  ELSE date_trunc('month', o_orderdate)::TIMESTAMP + INTERVAL 14 DAY END AS ts,
+             sum(floor(o_totalprice)) AS value
+      FROM orders GROUP BY 1, 2)"""
+
+
 def event_hourly(spark: SparkSession, folder: str) -> Panel:
     """Hourly value totals per event type; has gaps."""
     events = table(spark, folder, "events")
