@@ -211,3 +211,36 @@ def test_panel_without_keys(spark):
     df = spark.createDataFrame(frame({"a": season(40, 7)}))
     found = detect.detect_frequency(Panel.of(df, "ts", "value")).first()
     assert found["code"] == "D"
+
+
+def test_a_text_stamp_is_parsed_once_per_use(spark):
+    from tideline.functions.dates import text_to_time
+
+    df = spark.createDataFrame([("2024-01-05 10:00:00",), ("5 Mar 2024",), ("none of it",), (" NaT ",), (None,)], "t string")
+    read = df.select(text_to_time(F.col("t")).alias("at")).where("at is not null").groupBy("at").count()
+    plan = read._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") <= 14  # seven shapes, in the filter and in the projection
+    assert sorted(str(r["at"]) for r in read.collect()) == ["2024-01-05 10:00:00", "2024-03-05 00:00:00"]
+
+
+def test_calendar_grid_starts_at_the_next_anchor(spark):
+    import pandas as pd
+
+    parts = {
+        "mondays": pd.date_range("2024-01-01", periods=12, freq="7D"),
+        "quarter_starts": pd.date_range("2020-01-01", periods=9, freq="QS"),
+        "year_ends": pd.date_range("2015-12-31", periods=6, freq="YE"),
+        "one_anchor_late": pd.DatetimeIndex(["2024-02-10", "2024-03-10", "2024-04-30", "2024-05-31"]),
+    }
+    pdf = pd.concat([pd.DataFrame({"k": k, "ts": v, "value": range(len(v))}) for k, v in parts.items()])
+    panel_ = Panel.of(spark.createDataFrame(pdf), "ts", "value", ["k"])
+    grid = reg.to_grid(panel_, anchor="calendar")
+    rows = grid.panel.df.orderBy("k", "ts").toPandas()
+    codes = {"mondays": "W-SUN", "quarter_starts": "QE", "year_ends": "YE", "one_anchor_late": "ME"}
+    report = grid.report.toPandas().set_index("k")
+    for k, stamps in parts.items():
+        want = pd.date_range(stamps.min(), stamps.max(), freq=codes[k])
+        got = rows[rows["k"] == k]
+        assert got["ts"].tolist() == list(want)
+        assert got["observed"].tolist() == [t in stamps for t in want]
+        assert report.loc[k, "final_rows"] == len(want) and report.loc[k, "off_grid_rows"] == sum(t not in want for t in stamps)

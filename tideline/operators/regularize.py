@@ -317,14 +317,32 @@ class Prepared:
     report: DataFrame
     skipped: DataFrame
 
-
-def prepare_forecast(panel: Panel, tiebreak: str, dedup_values: bool = False) -> Prepared:
+    def metadata(self) -> DataFrame:
+        """Per series: rows, first and last stamp, days between, and the whole analysis (trend, season,
+        quality, frequency, recommended model, readiness)."""
+        from tideline.operators.stats import analyze_series
+
+        keys = self.panel.keys
+        first, final = F.min("ts"), F.max("ts")
+        days = F.datediff(final.cast("date"), first.cast("date"))
+        clock = lambda c: micros(c) - micros(F.date_trunc("day", c).cast("timestamp_ntz"))
+        whole = days - F.when(clock(final) < clock(first), 1).otherwise(0)
+        span = self.panel.df.groupBy(*keys).agg(
+            F.count("*").alias("rows"), first.alias("start"), final.alias("end"), whole.cast("long").alias("total_days")
+        )
+        return span.join(analyze_series(self.panel), keys)
+
+
+def prepare_forecast(panel: Panel, tiebreak: str, dedup_values: bool = False, thin_to: int | None = None) -> Prepared:
     """Clean, keep known values, set short series aside.
 
-    No row is thinned away here: only fits train on every ``fit_stride``-th row (in the
-    report). The result is written once: every model, statistic and score reads it again."""
+    No row is thinned away here unless ``thin_to`` asks for it: only fits train on every
+    ``fit_stride``-th row (in the report). The result is written once: every model,
+    statistic and score reads it again."""
     cleaned = clean(panel, tiebreak, dedup_values)
     known = cleaned.panel.derive(cleaned.panel.df.select(*panel.keys, "ts", "value")).known()
+    if thin_to is not None:
+        known = thin(known, thin_to)
     known = known.derive(settle(known.df))
     report = cleaned.report.withColumn("fit_stride", stride(F.col("final_rows")))
     return Prepared(long_enough(known), report, too_short(known))
@@ -352,3 +370,12 @@ def preprocess(
 
         return drop_outliers_forest(panel, contamination)
     return panel.df
+
+
+def preprocess_table(
+    df: DataFrame, ts: str, value: str, keys: list[str] | tuple[str, ...] = (), extra: list[str] | tuple[str, ...] = (), **options
+) -> DataFrame:
+    """``preprocess`` of a raw table: texts that are times become stamps and integers narrow first."""
+    from tideline.operators.schema import convert_types
+
+    return preprocess(Panel.of(convert_types(df), ts, value, keys, extra), **options)

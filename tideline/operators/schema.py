@@ -175,7 +175,7 @@ def repair_structure(df: DataFrame, order: str) -> DataFrame:
         filled = filled + F.col(c).isNotNull().cast("int")
     rows = df.select(order, *[F.col(c).cast("string").alias(c) for c in body]).withColumn("_filled", filled)
     rows = rows.where("_filled > 0")
-    header = rows.agg(F.max_by(F.struct("_filled", order, *body), F.struct("_filled", -F.col(order))).alias("h")).first()
+    header = rows.agg(F.min_by(F.struct("_filled", order, *body), F.struct(-F.col("_filled"), F.col(order))).alias("h")).first()
     fill = {c: F.coalesce(c, F.lit(MISSING)) for c in body}
     names = {}
     if header and header["h"] and header["h"]["_filled"] > 1:

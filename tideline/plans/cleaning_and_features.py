@@ -304,6 +304,31 @@ def preprocess_options(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(reg.preprocess(tables.event_raw(spark, folder), "day", "ffill", "zscore", 1.5))
 
 
+@query(ORACLE["preprocess_options"])
+def preprocess_raw_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a raw table whose stamps are texts and whose numbers are wide."""
+    events = tables.table(spark, folder, "events")
+    raw = events.select(
+        F.col("event_type").alias("k"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
+        F.round(F.col("value") * 100).cast("long").alias("cents"),
+    )
+    return _rows(reg.preprocess_table(raw, "at", "cents", ["k"], resample="day", fill="ffill", outliers="zscore", threshold=1.5))
+
+
+@query(
+    sql.with_(
+        *_CLEANED, sql.SPLIT,
+        select="""SELECT k, count(*) AS rows, min(ts) AS start, max(ts) AS end,
+        CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS BIGINT) AS total_days FROM split GROUP BY k""",
+    )
+)
+def prepared_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and span of the prepared series."""
+    prepared = reg.prepare_forecast(tables.dirty_orders(spark, folder), "o_orderkey")
+    return prepared.metadata().select("k", "rows", "start", "end", "total_days")
+
+
 # --- window features ------------------------------------------------------------
 
 

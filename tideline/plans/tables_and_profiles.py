@@ -391,3 +391,31 @@ def map_row_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return priced.groupBy("l_returnflag").agg(
         F.count("*").alias("items"), F.round(F.sum(number(F.col("revenue"))), 2).alias("revenue")
     )
+
+
+@query(
+    """SELECT count(*) AS lines, sum(length(whole))::BIGINT AS chars,
+    sum(length(whole) - length(replace(whole, chr(65533), '')))::BIGINT AS replacement_chars
+    FROM (SELECT coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END AS whole FROM documents)"""
+)
+def read_damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts written with bad bytes and with genuine replacement characters: only the bad bytes go."""
+    path = scratch_path(spark, "damaged-text")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    genuine = F.when(F.col("doc_id") % 3 == 0, files.REPLACEMENT).otherwise("")
+    bad = F.unhex(F.when(F.col("doc_id") % 2 == 0, "FFC3").otherwise("E282"))
+    raw = F.concat(bad, F.concat(text, genuine).cast("binary"), bad).cast("string")
+    table(spark, folder, "documents").select(raw.alias("value")).write.text(path)
+    value = F.col("value")
+    kept = F.length(value) - F.length(F.replace(value, F.lit(files.REPLACEMENT), F.lit("")))
+    return files.read_lines(spark, path).agg(
+        F.count("*").alias("lines"), F.sum(F.length(value)).alias("chars"), F.sum(kept).cast("long").alias("replacement_chars")
+    )
+
+
+@query("SELECT sum(l_quantity) AS quantity, count(*) AS rows FROM lineitem")
+def chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """A number from every chunk of rows, added up."""
+    lines = table(spark, folder, "lineitem").select("l_quantity")
+    found = chunks.chunk_results(lines, lambda chunk: float(chunk["l_quantity"].sum()), "double", 50_000)
+    return found.agg(F.sum("result").alias("quantity"), F.sum("rows").alias("rows"))
