@@ -1,8 +1,9 @@
 """Secret scans through nested encodings: a worklist of decoded layers.
 
 A layer is a text with, for each of its characters, the span of the original that it came
-from. Encoded runs of a layer (URL escapes, Unicode escapes, base64, compressed data
-inside base64) open further layers, until none is new."""
+from. Encoded runs of a layer (URL escapes, Unicode escapes and character references, base64,
+compressed data inside base64) open further layers, until none is new. An escaped escape sign
+is taken off with what it hides, however often it was escaped."""
 
 from __future__ import annotations
 
@@ -24,8 +25,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # whole runs: a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2})+")
+URL = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+URL_BYTE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+ESCAPE = r"\\(?:u005[cC]|x5[cC])*(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|U([0-9a-fA-F]{8})|u\{([0-9a-fA-F]{1,6})\})|&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
+CHARACTER = re.compile(ESCAPE)
+UNICODE = re.compile("(?:" + re.sub(r"\((?!\?)", "(?:", ESCAPE) + ")+")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
 BLANKS = re.compile(r"\s+")
 PACKED = re.compile(r"(?=H4sI|e[AFJN]|(?<=[+/])[A-Za-z0-9])")  # where gzip or zlib data may begin in base64
@@ -35,10 +39,37 @@ CHUNK = 1 << 20  # bytes of compressed data opened at once
 
 @dataclass
 class Layer:
-    """``origin`` maps a span of this layer to a span of the original text."""
+    """A text in segments: from place ``starts[i]`` on its characters came from ``lows[i]`` to
+    ``highs[i]`` of the original, one by one where ``exact[i]``, else all from the whole span."""
 
     text: str
-    origin: Callable[[int, int], tuple[int, int]]
+    starts: list[int]
+    lows: list[int]
+    highs: list[int]
+    exact: list[bool]
+
+    @classmethod
+    def whole(cls, text: str, low: int, high: int, exact: bool) -> Layer:
+        return cls(text, [0], [low], [high], [exact])
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the original that a span of this layer came from."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        low = self.lows[i] + start - self.starts[i] if self.exact[i] else self.lows[i]
+        high = self.lows[j] + end - self.starts[j] if self.exact[j] else self.highs[j]
+        return low, high
+
+    def segments(self, start: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+        """``length, low, high, exact`` of the segments that make up a span."""
+        at = bisect_right(self.starts, start) - 1
+        while start < end:
+            stop = min(end, self.starts[at + 1]) if at + 1 < len(self.starts) else end
+            if self.exact[at]:
+                low = self.lows[at] + start - self.starts[at]
+                yield stop - start, low, low + stop - start, True
+            else:
+                yield stop - start, self.lows[at], self.highs[at], False
+            start, at = stop, at + 1
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -53,13 +84,19 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _character(m: re.Match) -> str:
+    at = m.lastindex
+    code = int(m[at], 10 if at == 5 else 16)
+    return chr(code) if code < 0x110000 else "\ufffd"
+
+
 def _unescape(run: str) -> str:
-    text = re.sub(r"\\[ux]([0-9a-fA-F]{4}|[0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), run)
+    text = CHARACTER.sub(_character, run)
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _unquote(run: str) -> str:
-    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
+    return bytes.fromhex("".join(URL_BYTE.findall(run))).decode("utf-8", "replace")
 
 
 def _starts_packed(raw: bytes) -> bool:
@@ -169,54 +206,95 @@ def _unbase64(run: str) -> Iterator[str]:
         if sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text):
             yield text
             return
-    for m in PACKED.finditer(body):
-        if _opens(_bytes(body[m.start() : m.start() + 4096])):
-            yield from _pieces(_plain([_bytes(body[m.start() :])]))
+    yield from _packed_inside(body)
     yield text
     for at in (1, 2, 3):
         yield _bytes(body[at:]).decode("utf-8", "replace")
 
 
+def _packed_inside(body: str) -> Iterator[str]:
+    """The texts of compressed data that begins inside a base64 run. The run is decoded once per
+    offset; broken data costs what was opened of it, and the search goes on behind a member's end."""
+    raws: dict[int, memoryview] = {}
+    after = 0
+    for m in PACKED.finditer(body):
+        start = m.start()
+        if start < after:
+            continue
+        offset = start % 4
+        if offset not in raws:
+            raws[offset] = memoryview(_bytes(body[offset:]))
+        raw = raws[offset][(start - offset) // 4 * 3 :]
+        if not _starts_packed(bytes(raw[:2])) or not _opens(bytes(raw[:4096])):
+            continue
+        read = [0]
+
+        def parts(raw: memoryview = raw, read: list[int] = read) -> Iterator[bytes]:
+            size = 4096
+            while read[0] < len(raw):
+                part = bytes(raw[read[0] : read[0] + size])
+                read[0] += len(part)
+                yield part
+                size = min(4 * size, CHUNK)
+
+        given, left = parts(), []
+
+        def members(given: Iterator[bytes] = given, left: list = left) -> Iterator[bytes]:
+            head = next(given, b"")
+            while _starts_packed(head):
+                behind = yield from _member(head, given)
+                left.append(behind or b"")
+                if not behind:
+                    return
+                head = behind
+
+        yield from _pieces(_plain(members()))
+        if left:
+            after = start + max(1, (read[0] - len(left[-1])) // 3 * 4 if left[-1] else 1)
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[str], str]) -> Layer | None:
     """The whole layer with each encoded run decoded: what stands around a run and what
     the run holds are scanned together."""
-    parts, starts, ends, froms, whole, at, upto = [], [], [], [], [], 0, 0
+    parts, at, upto = [], 0, 0
+    out = Layer("", [], [], [], [])
+
+    def add(length: int, low: int, high: int, exact: bool) -> None:
+        nonlocal at
+        out.starts.append(at)
+        out.lows.append(low)
+        out.highs.append(high)
+        out.exact.append(exact)
+        at += length
+
     for m in pattern.finditer(layer.text):
-        for piece, start, end, exact in ((layer.text[upto : m.start()], upto, m.start(), True), (decode(m[0]), *m.span(), False)):
-            if piece:
-                parts.append(piece)
-                starts.append(at)
-                froms.append(start)
-                ends.append(end)
-                whole.append(not exact)
-                at += len(piece)
+        parts.append(layer.text[upto : m.start()])
+        for segment in layer.segments(upto, m.start()):
+            add(*segment)
+        if piece := decode(m[0]):
+            parts.append(piece)
+            add(len(piece), *layer.origin(*m.span()), False)
         upto = m.end()
     if not upto:
         return None
     parts.append(layer.text[upto:])
-    starts.append(at)
-    froms.append(upto)
-    ends.append(len(layer.text))
-    whole.append(False)
-
-    def origin(start: int, end: int) -> tuple[int, int]:
-        i, j = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
-        low = froms[i] if whole[i] else froms[i] + start - starts[i]
-        high = ends[j] if whole[j] else froms[j] + end - starts[j]
-        return layer.origin(low, high)
-
-    return Layer("".join(parts), origin)
+    for segment in layer.segments(upto, len(layer.text)):
+        add(*segment)
+    out.text = "".join(parts)
+    return out
 
 
 def _opened(layer: Layer) -> Iterator[Layer]:
-    for has, pattern, decode in (("%", URL, _unquote), ("\\", UNICODE, _unescape)):
+    for has, pattern, decode in (("%", URL, _unquote), ("\\", UNICODE, _unescape), ("&#", UNICODE, _unescape)):
+        if has == "&#" and "\\" in layer.text:
+            continue  # both were taken off together
         if has in layer.text and (below := _replaced(layer, pattern, decode)):
             yield below
     for m in WRAPPED.finditer(layer.text):
         for start, end in _runs(layer.text, *m.span()):
             span = layer.origin(start, end)
             for plain in _unbase64(layer.text[start:end]):
-                yield Layer(plain, lambda start, end, span=span: span)
+                yield Layer.whole(plain, *span, False)
 
 
 def _runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -247,7 +325,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     code points, end exclusive."""
     base = find(text)
     spans = dict.fromkeys(base)
-    work, seen = [_opened(Layer(text, lambda start, end: (start, end)))], set()
+    work, seen = [_opened(Layer.whole(text, 0, len(text), True))], set()
     while work:  # depth first: one layer of each depth is held at a time
         below = next(work[-1], None)
         if below is None:
@@ -266,7 +344,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
 
 def may_hold(text: str) -> bool:
     """False only if neither a secret nor an encoded run can be in the text."""
-    if "%" in text or "\\" in text or max(map(len, text.split()), default=0) >= 16:
+    if "%" in text or "\\" in text or "&#" in text or max(map(len, text.split()), default=0) >= 16:
         return True
     low = text.lower()
     return ("=" in low or ":" in low) and any(k in low for k in KEYWORDS)
