@@ -13,6 +13,7 @@ import numpy as np
 from tideline.functions.recursion import STRETCH, Family, normal_sums, series_sums
 
 BUMP = 1e-6
+EXACT_ROWS = 10_000  # rows up to which seasonal models are fitted by their exact likelihood
 EDGE = 0.9999  # partial autocorrelations stay this far inside the unit circle
 
 
@@ -119,6 +120,87 @@ def _seasonal_terms(params: np.ndarray):
     return ar, ma
 
 
+def _seasonal_parameters(u: np.ndarray) -> np.ndarray:
+    """Unbounded numbers to ``a1, a2, b1, b2, A, B`` of stationary and invertible polynomials."""
+    return np.concatenate([_from_partials(u[:, :2]), -_from_partials(u[:, 2:4]), EDGE * np.tanh(u[:, 4:])], axis=1)
+
+
+def _seasonal_start(params: np.ndarray) -> np.ndarray:
+    """Unbounded numbers near given ``a1, a2, b1, b2, A, B``, moved well inside the bounds."""
+    a1, a2, b1, b2, sa, sb = np.nan_to_num(params).T
+    inside = lambda x: np.arctanh(np.clip(x, -0.95, 0.95))
+    first = lambda one, two: one / np.maximum(1 - np.clip(two, -0.95, 0.95), 0.05)
+    return np.stack([inside(first(a1, a2)), inside(a2), inside(first(-b1, -b2)), inside(-b2), inside(sa), inside(sb)], axis=1)
+
+
+def _seasonal_innovations(w: np.ndarray, m: int, params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors of the stationary state space and their variances (in units of the shock's).
+
+    The state has a place per lag, ``m + 3`` in all. Its covariance changes from step to step by a matrix of
+    rank one, so that change is carried as a vector (Chandrasekhar's recursions: Morf, Sidhu and Kailath, 1974)
+    and a step costs as much as the state is long, not its square."""
+    copies, size = len(params), m + 3
+    ar, ma = _seasonal_terms(params)
+    phi, theta = np.zeros((copies, size + 1)), np.zeros((copies, size + 1))
+    theta[:, 0] = 1.0
+    for lag, a, b in zip((1, 2, m, m + 1, m + 2), ar, ma):
+        phi[:, lag] += a
+        theta[:, lag] += b
+    impulse = np.zeros((copies, size + 1))
+    for k in range(size + 1):
+        impulse[:, k] = theta[:, k] + np.einsum("ci,ci->c", phi[:, 1 : k + 1], impulse[:, :k][:, ::-1])
+    # autocovariances 0 .. size from the equations that tie them together
+    system = np.broadcast_to(np.eye(size + 1), (copies, size + 1, size + 1)).copy()
+    known = np.zeros((copies, size + 1))
+    for k in range(size + 1):
+        for j in range(1, size + 1):
+            system[:, k, abs(k - j)] -= phi[:, j]
+        known[:, k] = np.einsum("cj,cj->c", theta[:, k:], impulse[:, : size + 1 - k])
+    gamma = np.linalg.solve(system, known[:, :, None])[:, :, 0]
+    first = gamma[:, :size].copy()  # covariance of each place of the state with the value
+    for i in range(2, size + 1):
+        first[:, i - 1] = np.einsum("cj,cj->c", phi[:, i:size], gamma[:, 1 : size - i + 1])
+        first[:, i - 1] += np.einsum("cj,cj->c", theta[:, i - 1 : size], impulse[:, : size - i + 1])
+    weights = phi[:, 1 : size + 1]
+
+    def ahead(state: np.ndarray) -> np.ndarray:
+        out = weights * state[:, :1]
+        out[:, :-1] += state[:, 1:]
+        return out
+
+    spread = first[:, 0]
+    gain = ahead(first)
+    change, factor = gain, -1.0 / spread
+    state = np.zeros((copies, size))
+    errors, variances = np.empty((len(w), copies)), np.empty((len(w), copies))
+    steady = False
+    for t in range(len(w)):
+        errors[t] = w[t] - state[:, 0]
+        variances[t] = spread
+        state = ahead(state) + gain * (errors[t] / spread)[:, None]
+        if steady:
+            continue
+        z = change[:, 0]
+        moved_on = ahead(change)
+        new = spread + z * z * factor
+        gain = gain + moved_on * (factor * z)[:, None]
+        change = moved_on - gain * (z / new)[:, None]
+        factor = factor + factor * z / spread * z * factor
+        spread = new
+        steady = t % 16 == 0 and bool(np.all(np.abs(change).max(axis=1) ** 2 * np.abs(factor) < 1e-14))
+    return errors, variances
+
+
+def _seasonal_residuals(w: np.ndarray, m: int):
+    """Scaled one-step errors whose sum of squares is the exact Gaussian likelihood with the variance profiled out."""
+
+    def run(u, lane):
+        errors, variances = _seasonal_innovations(w, m, _seasonal_parameters(u))
+        return errors / np.sqrt(variances) * np.exp(0.5 * np.log(variances).mean(axis=0))
+
+    return run
+
+
 def _conditional_residuals(w: np.ndarray, m: int, skip: np.ndarray):
     """One-step errors given the first ``skip`` values of each candidate."""
     lags = np.array([1, 2, m, m + 1, m + 2])
@@ -220,27 +302,39 @@ def fit_arima(y: np.ndarray, d: int, orders: list[tuple[int, int]]) -> list[Fit]
     return fits
 
 
-def fit_sarima(y: np.ndarray, d: int, m: int, orders: list[tuple[int, int, int, int]]) -> list[Fit]:
-    """Conditional least squares for every ``(p, q, P, Q)``, differenced ``d`` times both ways."""
+def fit_sarima(y: np.ndarray, d: int, m: int, orders: list[tuple[int, int, int, int]], exact: bool | None = None) -> list[Fit]:
+    """Every ``(p, q, P, Q)``, differenced ``d`` times both ways: by maximum likelihood of the stationary
+    state space (``exact``, by default up to ``EXACT_ROWS`` rows), or by least squares given the first values."""
     w = _difference(y, d, d, m)
     skip = np.array([p + m * sp for p, q, sp, sq in orders])
     if len(w) <= skip.max() + 10:
         raise ValueError("too few points after seasonal differencing")
+    exact = len(y) <= EXACT_ROWS if exact is None else exact
     scale = w.std() or 1.0
     free = np.array([[p > 0, p > 1, q > 0, q > 1, sp > 0, sq > 0] for p, q, sp, sq in orders], float)
     run = _conditional_residuals(w / scale, m, skip)
     params, cost = least_squares(run, np.full(free.shape, 0.1), free)
+    if exact:  # the squares give the start
+        params, cost = least_squares(_seasonal_residuals(w / scale, m), _seasonal_start(params), free)
     with np.errstate(all="ignore"):
-        errors = run(params, np.arange(len(orders)))
+        if exact:
+            params = _seasonal_parameters(params)
+            errors, _ = _seasonal_innovations(w / scale, m, params)
+        else:
+            errors = run(params, np.arange(len(orders)))
     ar, ma = _seasonal_terms(params)
     lags, size = [1, 2, m, m + 1, m + 2], m + 2
     fits = []
     for i, (p, q, sp, sq) in enumerate(orders):
         if not np.isfinite(cost[i]) or cost[i] <= 0:
             continue
-        n = len(w) - skip[i]
+        n = len(w) - (0 if exact else skip[i])
         variance = cost[i] / n * scale**2
-        aic = n * (np.log(2 * np.pi * variance) + 1) + 2 * (p + q + sp + sq + 1)
+        if exact:  # the likelihood's own variance: the scaled errors carry the determinant
+            with np.errstate(all="ignore"):
+                _, spreads = _seasonal_innovations(w / scale, m, params[i : i + 1])
+            variance /= float(np.exp(np.log(spreads).mean()))
+        aic = n * (np.log(2 * np.pi * cost[i] / n * scale**2) + 1) + 2 * (p + q + sp + sq + 1)
         fits.append(
             Fit(
                 (p, d, q, sp, d, sq, m), y, _lag_polynomial(ar[:, i], lags, size, -1), _lag_polynomial(ma[:, i], lags, size, 1),
