@@ -31,3 +31,13 @@ def test_wrapped_notices_inside_a_document(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].licenses for i, _ in rows] == [name for name, _ in licenses.KNOWN]
     assert all(r.whole_license is None for r in got.values())
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(1, "Released under the MIT License."), (1, "nothing here"), (None, "Released under the MIT License."), (1, "Released under the MIT License."), (None, None)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.whole_license, r.licenses, r.n_lines) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "MIT", "MIT", 1), (1, None, "", 0), (None, "MIT", "MIT", 1), (1, "MIT", "MIT", 1), (None, None, "", 0)], key=repr)
+    own = spark.createDataFrame([("Own", "A text of our own, quite short."), ("None", None)], "license string, text string")
+    mine = licenses.scan(spark.createDataFrame([(5, "a text of OUR own\nquite short"), (6, "x")], "doc_id long, text string"), own)
+    assert {r.doc_id: r.whole_license for r in mine.collect()} == {5: "Own", 6: None}

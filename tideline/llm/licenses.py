@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import texts
+from tideline.llm.common import stored, texts
 
 # fixed values: spellings that license texts use for one another
 SPELLINGS = [
@@ -84,52 +84,59 @@ def entire_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "license string, text string")
 
 
-def _entire(docs: DataFrame, known: DataFrame, builtin: bool) -> tuple[DataFrame, DataFrame]:
-    """Licenses however their lines are wrapped: ``doc_id, entire`` of whole documents and
-    ``doc_id, wrapped`` (names) of paragraphs of several lines."""
-    if builtin:  # words that each of the known texts has
-        docs = docs.filter(F.col("text").rlike("(?i)licen|permission|redistribution|unencumbered|warrant|creative commons"))
-    canon = docs.select("doc_id", canonical(F.col("text"), NOTICE_LINE).alias("canon"))
-    digest = lambda c: F.sha2(joined(c).cast("binary"), 256).alias("digest")
-    of_all = canon.select("doc_id", digest(F.col("canon"))).join(known, "digest").groupBy("doc_id").agg(F.min("license").alias("entire"))
-    parts = canon.select("doc_id", F.explode(F.split("canon", "\n{2,}")).alias("part")).filter("instr(trim(BOTH '\\n' FROM part), '\\n') > 0")
-    of_parts = parts.select("doc_id", digest(F.col("part"))).join(known, "digest").groupBy("doc_id").agg(F.collect_set("license").alias("wrapped"))
-    return of_all, of_parts
-
-
 def digests(licenses: DataFrame, dropped: str = COPYRIGHT_LINE, line=whole) -> DataFrame:
     """``digest, license``: one row per canonical text (the first name if several share it)."""
-    digest = F.sha2(line(canonical(F.col("text"), dropped)).cast("binary"), 256)
+    digest = F.unhex(F.sha2(line(canonical(F.col("text"), dropped)).cast("binary"), 256))
     return licenses.filter("text is not null").groupBy(digest.alias("digest")).agg(F.min("license").alias("license"))
 
 
+def hashed(docs: DataFrame, builtin: bool) -> DataFrame:
+    """``row, doc_id, digest, lines, entire, parts``: every row of ``docs`` with the digests of its whole
+    text, of its lines, of its text however wrapped and of its paragraphs of several lines. Every
+    text is brought to its canonical form once here; what follows works on digests."""
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    notice = canonical(F.col("text"), NOTICE_LINE)
+    if builtin:  # words that each of the known texts has
+        notice = F.when(F.col("text").rlike("(?i)licen|permission|redistribution|unencumbered|warrant|creative commons"), notice)
+    canon = texts(docs).select("doc_id", canonical(F.col("text")).alias("canon"), notice.alias("notice"))
+    lines = F.filter(F.split("canon", "\n"), lambda line: line != "")
+    parts = F.filter(F.split("notice", "\n{2,}"), lambda part: F.instr(F.trim(part, F.lit("\n")), "\n") > 0)
+    return canon.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        digest(whole(F.col("canon"))).alias("digest"),
+        F.transform(lines, digest).alias("lines"),
+        digest(joined(F.col("notice"))).alias("entire"),
+        F.transform(parts, lambda part: digest(joined(part))).alias("parts"),
+    )
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
-    """``doc_id, digest, whole_license, licenses, n_lines`` per document.
+    """``doc_id, digest, whole_license, licenses, n_lines`` for every row of ``docs``.
 
     ``whole_license`` names the license whose text the document is; ``licenses`` the
     licenses, by name, that are the document, one of its lines or a paragraph of several
     lines, comma-joined (empty if none); ``n_lines`` counts those lines. Null and empty texts have the digest of an empty
-    text, which no license has; repeated rows come out once each; very long texts are
-    hashed whole. Join strategies follow the size of ``licenses``."""
+    text, which no license has; rows that share an id, or have none, come out once each by their own
+    texts; very long texts are hashed whole. Join strategies follow the size of ``licenses``."""
     spark = docs.sparkSession
     known = digests(known_licenses(spark) if licenses is None else licenses)
-    canon = texts(docs).select("doc_id", canonical(F.col("text")).alias("canon"))
-    marked = canon.select("doc_id", F.sha2(whole(F.col("canon")).cast("binary"), 256).alias("digest"))
-    marked = marked.join(known.withColumnRenamed("license", "whole_license"), "digest", "left")
-    lines = canon.select("doc_id", F.explode(F.split("canon", "\n")).alias("line"))
-    lines = lines.filter("line <> ''").select("doc_id", F.sha2(F.col("line").cast("binary"), 256).alias("digest"))
-    found = lines.join(known, "digest").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.collect_set("license").alias("names")
-    )
     wanted = known_licenses(spark).union(entire_licenses(spark)) if licenses is None else licenses.select("license", "text")
-    of_all, of_parts = _entire(texts(docs), digests(wanted, NOTICE_LINE, joined), licenses is None)
-    out = marked.join(found, "doc_id", "left").join(of_all, "doc_id", "left").join(of_parts, "doc_id", "left")
-    out = out.withColumn("whole_license", F.coalesce("whole_license", "entire"))
+    entire = digests(wanted, NOTICE_LINE, joined)
+    facts = stored(hashed(docs, licenses is None), "license_digests")
+    lines = facts.select("row", F.explode("lines").alias("digest")).join(known, "digest")
+    lines = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_lines"), F.collect_set("license").alias("names"))
+    parts = facts.select("row", F.explode("parts").alias("digest")).join(entire, "digest")
+    parts = parts.groupBy("row").agg(F.collect_set("license").alias("wrapped"))
+    out = facts.select("row", "doc_id", "digest", "entire").join(known.withColumnRenamed("license", "whole_license"), "digest", "left")
+    out = out.join(entire.select(F.col("digest").alias("entire"), F.col("license").alias("entire_license")), "entire", "left")
+    out = out.join(lines, "row", "left").join(parts, "row", "left")
+    out = out.withColumn("whole_license", F.coalesce("whole_license", "entire_license"))
     none = F.array().cast("array<string>")
     names = F.array_union(F.array_union(F.coalesce("names", none), F.coalesce("wrapped", none)), F.when(F.col("whole_license").isNull(), F.array().cast("array<string>")).otherwise(F.array("whole_license")))
     return out.select(
         "doc_id",
-        "digest",
+        F.lower(F.hex("digest")).alias("digest"),
         "whole_license",
         F.concat_ws(",", F.array_sort(names)).alias("licenses"),
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
