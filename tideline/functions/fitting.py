@@ -13,6 +13,7 @@ import numpy as np
 from tideline.functions.recursion import STRETCH, Family, normal_sums, series_sums
 
 BUMP = 1e-6
+EXACT_ROUNDS = 15  # steps of the exact search, which starts where the squares are least
 EXACT_ROWS = 10_000  # rows up to which seasonal models are fitted by their exact likelihood
 EDGE = 0.9999  # partial autocorrelations stay this far inside the unit circle
 
@@ -315,11 +316,11 @@ def fit_sarima(y: np.ndarray, d: int, m: int, orders: list[tuple[int, int, int,
     run = _conditional_residuals(w / scale, m, skip)
     params, cost = least_squares(run, np.full(free.shape, 0.1), free)
     if exact:  # the squares give the start
-        params, cost = least_squares(_seasonal_residuals(w / scale, m), _seasonal_start(params), free)
+        params, cost = least_squares(_seasonal_residuals(w / scale, m), _seasonal_start(params), free, EXACT_ROUNDS)
     with np.errstate(all="ignore"):
         if exact:
             params = _seasonal_parameters(params)
-            errors, _ = _seasonal_innovations(w / scale, m, params)
+            errors, spreads = _seasonal_innovations(w / scale, m, params)
         else:
             errors = run(params, np.arange(len(orders)))
     ar, ma = _seasonal_terms(params)
@@ -331,9 +332,7 @@ def fit_sarima(y: np.ndarray, d: int, m: int, orders: list[tuple[int, int, int,
         n = len(w) - (0 if exact else skip[i])
         variance = cost[i] / n * scale**2
         if exact:  # the likelihood's own variance: the scaled errors carry the determinant
-            with np.errstate(all="ignore"):
-                _, spreads = _seasonal_innovations(w / scale, m, params[i : i + 1])
-            variance /= float(np.exp(np.log(spreads).mean()))
+            variance /= float(np.exp(np.log(spreads[:, i]).mean()))
         aic = n * (np.log(2 * np.pi * cost[i] / n * scale**2) + 1) + 2 * (p + q + sp + sq + 1)
         fits.append(
             Fit(
