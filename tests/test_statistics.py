@@ -125,3 +125,23 @@ def test_forest_keeps_missing_values(spark):
     kept = forest.drop_outliers_forest(p, 0.05)
     assert kept.where("value is null").count() == 30
     assert 250 <= kept.where("value is not null").count() <= 262
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_forest_scores_equal_a_direct_look_up(spark, monkeypatch, n):
+    monkeypatch.setattr(forest, "PIECE_ROWS", 500)
+    monkeypatch.setattr(forest, "POOL", 10**9 if n == 40 else 400)  # whole series in the pool, and a part
+    y = np.round(np.random.default_rng(6).normal(size=n), 2)
+    frame = panel(spark, {"a": y, "b": y[: n // 2] * 3})
+    scored = forest.forest_scores(frame)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan
+    found = scored.toPandas()
+    assert len(found) == n + n // 2 and list(found.columns) == [*frame.df.columns, "score"]
+    if n == 40:
+        for k, values in (("a", y), ("b", y[: n // 2] * 3)):
+            cuts, scores = forest._forest(values)
+            own = found[found["k"] == k]
+            assert np.array_equal(own["score"], scores[np.searchsorted(cuts, own["value"])])
+    else:  # one function per series: equal values score alike, in every piece
+        assert found["score"].notna().all() and found.groupby(["k", "value"])["score"].nunique().max() == 1

@@ -15,7 +15,8 @@ FIRST_STAMP, LAST_STAMP = "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"
 
 EXCEL_EPOCH = "1899-12-30"
 DAY_MICROS = 86_400_000_000
-UNITS = ["excel", "s", "ms"]
+# Medians (exclusive bounds) that point at serial days, milliseconds or seconds.
+UNIT_RANGES = {"excel": (20_000, 90_000), "ms": (1e11, None), "s": (1e8, 1e11)}
 
 
 def _try_format(text: Column, pattern: str) -> Column:
@@ -77,17 +78,3 @@ def number_to_time(value: Column, unit: str) -> Column:
         scale = {"s": 1e6, "ms": 1e3}[unit]
         us = F.round(v * F.lit(scale)).try_cast("bigint")
     return _in_range(F.timestamp_micros(us).cast("timestamp_ntz"))
-
-
-def number_unit(median: float | None, parsed: dict[str, float]) -> str | None:
-    """Which numeric reading the column median points at; over 80 % of all rows must parse in it."""
-    unit = None
-    if median is None:
-        return None
-    if 20000 < median < 90000:
-        unit = "excel"
-    elif median > 1e11:
-        unit = "ms"
-    elif 1e8 < median < 1e11:
-        unit = "s"
-    return unit if unit and parsed[unit] > 0.80 else None

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.dates import UNITS, number_to_time, number_unit, text_to_time
+from tideline.functions.dates import UNIT_RANGES, number_to_time, text_to_time
 from tideline.functions.steps import DAY, HOUR, MINUTE, step_name, step_period
+from tideline.operators.distinct import column_counts, exact_counts, unpivot
 from tideline.operators.quantile import summarise
 from tideline.operators.split import over_rows
-from tideline.panel import Measure, Panel, Size, micros, number
+from tideline.panel import Panel, micros, number
 
 # Words that mark a time column, in order of preference.
 TIME_WORDS = [
@@ -34,32 +35,37 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def unpivot(df: DataFrame, columns: dict[str, Column], name: str = "value") -> DataFrame:
-    """Columns to rows ``(ordinal, column, <name>)``; all expressions share one type."""
-    entries = [
-        F.struct(F.lit(i).alias("ordinal"), F.lit(label).alias("column"), expr.alias(name))
-        for i, (label, expr) in enumerate(columns.items())
-    ]
-    return df.select(F.inline(F.array(*entries)))
+def _beyond(value: Column, mark: float) -> Column:
+    """Whether the median of a group exceeds ``mark``, without ranking anything: rows up to the
+    mark are counted, and where the two middle values lie on either side of it, they are the
+    greatest value up to the mark and the least one beyond."""
+    over = value > mark
+    n, upto = F.count(value), F.count(F.when(~over, value))
+    below, above = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+    left, right = F.max(F.when(~over, value)), F.min(F.when(over, value))
+    middle = left + (right - left) / 2 > mark
+    return (n > 0) & F.when(upto <= below, True).when(upto > above, False).otherwise(middle)
 
 
-def column_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Median per numeric column and the share of rows each reading parses: one row per column."""
+def column_units(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """The numeric reading each column's median points at, if over 80 % of all rows parse in it.
+
+    Medians are only held against the marks of the readings, so the rows stay where they are."""
     long = unpivot(df, {c: number(F.col(c)) for c in columns})
-    keys = ["ordinal", "column"]
-    panel = Panel(long, keys, measure=Measure(long, keys, Size(len(columns), df.count())))
-    parsed = {u: F.avg(number_to_time(F.col("value"), u).isNotNull().cast("double")) for u in UNITS}
-    return summarise(panel, parsed, {"median": 0.5})
+    value = F.col("value")
+    facts = []
+    for unit, (low, high) in UNIT_RANGES.items():
+        meant = _beyond(value, low) if high is None else _beyond(value, low) & _beyond(-value, -high)
+        facts += [meant.alias(f"meant_{unit}"), F.avg(number_to_time(value, unit).isNotNull().cast("double")).alias(f"parsed_{unit}")]
+    found = long.groupBy("column").agg(*facts).collect()  # one row per column
+    return {r["column"]: next((u for u in UNIT_RANGES if r[f"meant_{u}"] and r[f"parsed_{u}"] > 0.80), None) for r in found}
 
 
 def time_expressions(df: DataFrame, columns: list[str] | None = None, dayfirst: bool = False) -> dict[str, Column]:
-    """How to read each column as time. Only medians (one row per column) reach the driver."""
+    """How to read each column as time. One row per numeric column reaches the driver."""
     columns = df.columns if columns is None else columns
     numeric = [c for c in numeric_columns(df) if c in columns]
-    units = {}
-    if numeric:
-        found = column_numbers(df, numeric).collect()
-        units = {r["column"]: number_unit(r["median"], {u: r[u] for u in UNITS}) for r in found}
+    units = column_units(df, numeric) if numeric else {}
     exprs = {}
     for field in df.schema.fields:
         if field.name not in columns:
@@ -82,14 +88,15 @@ def to_datetime(df: DataFrame, column: str, name: str | None = None, dayfirst: b
     return df.withColumn(name or column, time_expressions(df, [column], dayfirst)[column])
 
 
-def score_time_columns(df: DataFrame) -> DataFrame:
-    """One row per column: parsed share, distinct stamps, score and whether it is chosen."""
-    exprs = time_expressions(df)
-    numeric = numeric_columns(df)
-    stamps = unpivot(df, exprs, "at").groupBy("ordinal", "column", "at").agg(F.count("*").alias("c"))
-    parsed = F.sum(F.when(F.col("at").isNotNull(), F.col("c")).otherwise(0))
-    per_column = stamps.groupBy("ordinal", "column").agg(
-        (parsed / F.sum("c")).alias("rate"), F.count("at").alias("distinct_stamps")
+def score_time_columns(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per column: parsed share, distinct stamps, score and whether it is chosen.
+
+    Scores use distinct stamps up to 100, and these are exact; larger counts are estimates
+    unless ``exact`` asks for counting them all."""
+    exprs, numeric = time_expressions(df), numeric_columns(df)
+    counts = exact_counts(df, exprs) if exact else column_counts(df, exprs, upto=100)
+    per_column = counts.select(
+        "ordinal", "column", (F.col("filled") / F.col("rows")).alias("rate"), F.col("distinct_values").alias("distinct_stamps")
     )
     word_rank = F.lit(None).cast("int")
     for rank, word in reversed(list(enumerate(TIME_WORDS))):
@@ -123,17 +130,6 @@ def detect_datetime_column(df: DataFrame) -> str | None:
     return row["column"] if row else None
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, missing, distinct and spread of numeric columns, without one task per column."""
-    long = unpivot(df, {c: number(F.col(c)) for c in columns})
-    counted = long.groupBy("ordinal", "column", "value").agg(F.count("*").alias("c"))
-    return counted.groupBy("ordinal", "column").agg(
-        F.sum("c").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("c")).otherwise(0)).alias("missing"),
-        F.count("value").alias("distinct_values"),
-    )
-
-
 def score_target_columns(df: DataFrame) -> DataFrame:
     """Numeric columns ranked as forecasting targets: ``column, score, rank``.
 
@@ -145,12 +141,13 @@ def score_target_columns(df: DataFrame) -> DataFrame:
     distinct = F.col("distinct_values")
     score = (
         F.when(F.col("column").isin(favoured), 40).otherwise(0)
-        + (1 - F.col("missing") / F.col("rows")) * 20
+        + (1 - (F.col("rows") - F.col("filled")) / F.col("rows")) * 20
         + F.when(distinct > 1, 15).otherwise(0)
         + F.when(distinct / F.col("rows") > 0.30, 15).otherwise(0)
         + F.when(distinct > 20, 10).otherwise(0)
     )
-    scored = column_profile(df, columns).withColumn("score", F.round(score.cast("double"), 2))
+    counts = column_counts(df, {c: number(F.col(c)) for c in columns}, upto=20, shares=(0.30,))
+    scored = counts.withColumn("score", F.round(score.cast("double"), 2))
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "ordinal"))
     return scored.select("column", "score", rank.alias("rank"))
 

@@ -1,14 +1,14 @@
 """Isolation forest on the value column (Liu, Ting and Zhou, 2008).
 
 Trees see samples of at most 256 rows, so a bounded pool per series is enough to
-grow them. A forest over one variable is a step function of that variable: the
-scores come from looking values up in it."""
+grow them. A forest over one variable is a step function of that variable: its steps
+are sorted among the rows, and each row takes the score of the step it meets."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.quantile import summarise
@@ -18,7 +18,7 @@ TREES = 100
 SAMPLE = 256
 SEED = 42
 POOL = TREES * SAMPLE
-PIECE_ROWS = 1_000_000  # rows one task looks up at once
+PIECE_ROWS = 1_000_000  # rows sorted among one copy of a series' steps
 
 
 def _path_excess(n):
@@ -67,36 +67,38 @@ def forest_scores(panel: Panel) -> DataFrame:
     sized = known.attach(known.df, counts)
     # Rows drawn by the hash of their content: a uniform pool, the same on every run.
     draw = F.pmod(F.xxhash64(F.lit(SEED), "ts", "value"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    pool = sized.where(draw < F.lit(2.0 * POOL) / F.col("_n")).select(*keys, "value")
+    pool = sized.where(draw < F.lit(2.0 * POOL) / F.col("_n")).select(*keys, "_n", "value")
 
     key_fields = [f for f in panel.df.schema.fields if f.name in keys]
     model_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields])
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        cuts, scores = _forest(group["value"].to_numpy())
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "cuts": [cuts], "scores": [scores]})
-
-    models = pool.groupBy(*keys).applyInPandas(grow, f"{model_schema}, cuts array<double>, scores array<double>")
-    # Long series are scored in pieces, each with its own copy of the step function.
+        values, n = group["value"].to_numpy(), int(group["_n"].iloc[0])
+        cuts, scores = _forest(values)
+        if len(values) == n:  # no other values to come: steps between them are of no use
+            seen = np.unique(values)
+            cuts, scores = seen, scores[np.searchsorted(cuts, seen)]
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "_n": [n], "cuts": [cuts], "scores": [scores]})
+
+    models = pool.groupBy(*keys).applyInPandas(grow, f"{model_schema}, _n long, cuts array<double>, scores array<double>")
+    # Long series are scored in pieces, each with its own copy of the steps. No series has more
+    # steps than rows, so the rows at most double.
     pieces = F.greatest(F.lit(1), F.ceil(F.col("_n") / PIECE_ROWS)).cast("int")
-    rows = sized.withColumn("_piece", F.pmod(F.xxhash64("ts"), pieces).cast("int")).drop("_n")
-    copies = models.join(counts, keys).select(
+    columns = [f"`{c}`" for c in panel.df.columns]
+    rows = sized.select(
+        *keys, F.pmod(F.xxhash64("ts", "value"), pieces).cast("int").alias("_piece"), F.col("value").alias("_at"),
+        F.struct(*columns).alias("_row"), F.lit(None).cast("double").alias("score"),
+    )
+    steps = models.select(
         *keys, "cuts", "scores", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece")
+    ).select(*keys, "_piece", F.inline(F.arrays_zip("cuts", "scores")))
+    steps = steps.select(
+        *keys, "_piece", F.col("cuts").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("scores").alias("score")
     )
-
-    def look_up(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = group.drop(columns="_piece")
-        if len(model) == 0 or len(group) == 0:
-            return out.assign(score=np.nan)
-        cuts, scores = np.asarray(model["cuts"].iloc[0]), np.asarray(model["scores"].iloc[0])
-        return out.assign(score=scores[np.searchsorted(cuts, group["value"].to_numpy())])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_piece").schema.fields)
-    return (
-        rows.groupBy(*keys, "_piece")
-        .cogroup(copies.groupBy(*keys, "_piece"))
-        .applyInPandas(look_up, f"{schema}, score double")
-    )
+    # In falling order, steps first: the last step met is the first cut not below the value.
+    falling = Window.partitionBy(*keys, "_piece").orderBy(F.desc("_at"), F.col("_row").isNotNull())
+    met = F.last("score", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.unionByName(steps).withColumn("score", met).where(F.col("_row").isNotNull()).select("_row.*", "score")
 
 
 def forest_anomalies(panel: Panel, contamination: float = 0.05) -> DataFrame:

@@ -14,8 +14,8 @@ from tideline.operators.detect import (
     detect_target_column,
     numeric_columns,
     time_expressions,
-    unpivot,
 )
+from tideline.operators.distinct import column_counts, unpivot
 from tideline.operators.quantile import summarise
 from tideline.operators.stats import analyze_series
 from tideline.panel import Panel, number, only_series
@@ -88,7 +88,8 @@ def narrow_profile(df: DataFrame) -> DataFrame:
     advice = stats.select(F.inline(F.array(*entries)))
     if not texts:
         return advice.select("column", "current_type", "recommended_type", F.lit(False).alias("is_category"))
-    distinct = _distinct_counts(df, texts).select("column", "distinct_values")
+    counts = column_counts(df, {c: F.col(c) for c in texts}, shares=(0.5,))
+    distinct = counts.select("column", "distinct_values")
     return advice.join(distinct, "column", "left").select(
         "column",
         "current_type",
@@ -97,16 +98,6 @@ def narrow_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing and distinct counts per column, grouped by value so no column is one task."""
-    long = unpivot(df, {c: F.when(~_missing(df, c), F.col(c).cast("string")) for c in columns})
-    counted = long.groupBy("ordinal", "column", "value").agg(F.count("*").alias("c"))
-    return counted.groupBy("ordinal", "column").agg(
-        F.count("value").alias("distinct_values"),
-        F.sum(F.when(F.col("value").isNull(), F.col("c")).otherwise(0)).alias("missing"),
-    )
-
-
 def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
     """Apply the integer advice (and the float advice on request). One row per column is read."""
     advice = {r["column"]: r["recommended_type"] for r in narrow_profile(df).collect()}

@@ -313,7 +313,7 @@ def _time_scores_sql() -> str:
 
 @query(_time_scores_sql())
 def find_time_column(spark: SparkSession, folder: str) -> DataFrame:
-    scores = detect.score_time_columns(table(spark, folder, "orders"))
+    scores = detect.score_time_columns(table(spark, folder, "orders"), exact=True)
     return scores.select("column", "distinct_stamps", "chosen", *tables.six("rate", "score"))
 
 
