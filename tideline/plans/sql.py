@@ -242,3 +242,65 @@ board AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY overall_score,
 
 def with_(*pieces: str, select: str) -> str:
     return "WITH " + ",".join(pieces) + "\n" + select
+
+
+def _eliminated(name: str, columns: str) -> str:
+    """Cross products of a regression's columns, and what is left of them after each column in turn
+    is regressed out: ``{name}(k, z, lag, rows, p, g)`` with ``p - 1`` columns out.
+
+    ``{name}_in(k, z, n, ys, ds, lag)`` holds levels and changes; row ``t`` explains the change after
+    level ``t`` and runs from ``lag`` to ``n - 2``. ``columns`` gives column ``c``, the last is explained."""
+    return f"""
+{name}_c AS (SELECT k, z, lag, n - 1 - lag AS rows, c, {columns} AS vec
+    FROM {name}_in, unnest(range(0, lag + 3)) AS t(c)),
+{name}_g AS (SELECT a.k, a.z, a.lag, a.rows, a.c, list(list_inner_product(a.vec, b.vec) ORDER BY b.c) AS line
+    FROM {name}_c a JOIN {name}_c b ON a.k = b.k AND a.z = b.z GROUP BY ALL),
+{name} AS (SELECT k, z, lag, rows, 1::BIGINT AS p, list(line ORDER BY c) AS g FROM {name}_g GROUP BY k, z, lag, rows
+    UNION ALL SELECT k, z, lag, rows, p + 1, list_transform(g, lambda line: list_transform(line,
+        lambda v, c: v - line[p] * g[p][c] / g[p][p])) FROM {name} WHERE p <= lag + 2)"""
+
+
+_LEVEL, _ONE = "list_slice(ys, lag + 1, n - 1)", "list_transform(range(0, n - 1 - lag), lambda x: 1.0::DOUBLE)"
+_CHANGE = "list_slice(ds, lag + 1 - ({0}), n - 1 - ({0}))"
+
+# The augmented Dickey-Fuller regression of ``series(k, z, i, value)``: lag by AIC over common rows,
+# then the statistic with the level regressed last. The normal integral is Simpson's sum.
+UNIT_ROOT = f"""
+u_0 AS (SELECT k, z, count(*) AS n, avg(value) AS m, list(value ORDER BY i) AS y FROM series
+        GROUP BY k, z HAVING max(value) > min(value)),
+u_in AS (SELECT k, z, n, list_transform(y, lambda x: x - m) AS ys,
+        list_transform(range(1, n), lambda i: (y[i + 1] - y[i])::DOUBLE) AS ds,
+        least(n // 2 - 2, ceil(12.0 * (n / 100.0) ** 0.25)::BIGINT) AS lag FROM u_0),
+{_eliminated("u", f"CASE WHEN c = 0 THEN {_LEVEL} WHEN c = 1 THEN {_ONE} WHEN c < lag + 2 THEN {_CHANGE.format('c - 1')} ELSE {_CHANGE.format('0')} END").strip()},
+aic AS (SELECT k, z, p - 3 AS best, g[lag + 3][lag + 3] AS rss, rows * (ln(2 * pi() * rss / rows) + 1) + 2 * (p - 1) AS aic
+        FROM u WHERE p >= 3 AND g[lag + 3][lag + 3] > 0),
+w_in AS (SELECT k, z, n, ys, ds, best AS lag FROM u_in JOIN (SELECT k, z, arg_min(best, aic) AS best FROM aic GROUP BY k, z) USING (k, z)),
+{_eliminated("w", f"CASE WHEN c = 0 THEN {_ONE} WHEN c <= lag THEN {_CHANGE.format('c')} WHEN c = lag + 1 THEN {_LEVEL} ELSE {_CHANGE.format('0')} END").strip()},
+w_end AS (SELECT k, z, g[p][p] AS yy, g[p][p + 1] AS yd, (g[p + 1][p + 1] - yd * yd / yy) / (rows - lag - 2) / yy AS variance
+        FROM w WHERE p = lag + 2 AND rows > lag + 2),
+w_t AS (SELECT k, z, yd / yy / sqrt(variance) AS t,
+        CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t
+             ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS x,
+        (x + 12) / 2000 AS h FROM w_end WHERE variance > 0),
+unit_root AS (SELECT k, z, t AS statistic, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 THEN 0.0
+        ELSE h / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
+            lambda j: CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-((j * h - 12) ** 2) / 2))) END AS pv
+        FROM w_t)"""
+
+# Levels and, as a second series, their changes.
+LEVELS_AND_CHANGES = """
+series AS (SELECT k, 0 AS z, pos AS i, value::DOUBLE AS value FROM v UNION ALL
+    SELECT k, 1, pos, change::DOUBLE FROM (SELECT k, pos, value - lag(value) OVER (PARTITION BY k ORDER BY pos) AS change FROM v)
+    WHERE change IS NOT NULL)"""
+
+STATIONARITY = """
+tested AS (SELECT c.k, n, a.statistic, a.pv AS p0, b.pv AS p1, n >= 20 AND p0 IS NOT NULL AS usable,
+        coalesce(usable AND p0 < 0.05, FALSE) AS stationary, usable AND NOT (usable AND NOT stationary AND p1 IS NULL) AS settled
+    FROM (SELECT k, count(value) AS n FROM p GROUP BY k) c
+    LEFT JOIN unit_root a ON a.k = c.k AND a.z = 0 LEFT JOIN unit_root b ON b.k = c.k AND b.z = 1),
+stationarity AS (SELECT k, stationary, CASE WHEN usable THEN round(p0, 5) END AS p_value,
+        CASE WHEN stationary THEN 0 WHEN usable AND p1 >= 0.05 THEN 2 ELSE 1 END AS recommended_d,
+        CASE WHEN settled THEN round((1 - p0) * 100, 1) ELSE 0 END AS confidence,
+        CASE WHEN NOT settled THEN 'Unknown' WHEN stationary THEN 'Series is stationary.'
+             ELSE 'Series requires differencing.' END AS interpretation,
+        CASE WHEN settled THEN round(statistic, 4) END AS adf_statistic FROM tested)"""

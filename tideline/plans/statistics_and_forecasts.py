@@ -96,13 +96,33 @@ def partial_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     return stats.acf_pacf(tables.priority_daily(spark, folder), _PACF_LAGS).select("k", "lag", *six("acf", "pacf"))
 
 
-@query()
+@query(
+    sql.with_(
+        tables.PRIORITY_DAILY.replace("p AS", "pd AS", 1),
+        tables.EVENT_HOURLY.replace("p AS", "ph AS", 1),
+        "p AS (FROM pd UNION ALL FROM ph)",
+        sql.NUMBERED,
+        sql.LEVELS_AND_CHANGES,
+        sql.UNIT_ROOT,
+        sql.STATIONARITY,
+        select="SELECT * FROM stationarity",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
 def stationarity(spark: SparkSession, folder: str) -> DataFrame:
     daily = stats.check_stationarity(tables.priority_daily(spark, folder))
     return daily.unionByName(stats.check_stationarity(tables.event_hourly(spark, folder)))
 
 
-@query()
+@query(
+    sql.with_(
+        tables.PRIORITY_MONTHLY,
+        sql.NUMBERED,
+        sql.LEVELS_AND_CHANGES,
+        sql.UNIT_ROOT,
+        select="""SELECT k, round(statistic, 4) AS adf_statistic, round(pv, 4) AS p_value, pv < 0.05 AS stationary
+        FROM unit_root JOIN (SELECT k, count(*) AS n FROM v GROUP BY k) USING (k) WHERE z = 0 AND n >= 10""",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
 def unit_root(spark: SparkSession, folder: str) -> DataFrame:
     return stats.unit_root_test(tables.priority_monthly(spark, folder))
 
