@@ -113,6 +113,15 @@ def stationarity(spark: SparkSession, folder: str) -> DataFrame:
     return daily.unionByName(stats.check_stationarity(tables.event_hourly(spark, folder)))
 
 
+@query(
+    sql.with_(
+        tables.RUNNING_EXCESS, sql.NUMBERED, sql.LEVELS_AND_CHANGES, sql.UNIT_ROOT, sql.STATIONARITY, select="SELECT * FROM stationarity"
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
+def stationarity_of_running_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.check_stationarity(tables.running_excess(spark, folder))
+
+
 @query(
     sql.with_(
         tables.PRIORITY_MONTHLY,

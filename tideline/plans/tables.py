@@ -6,7 +6,7 @@ means are exact in both engines and need no tolerance."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.panel import Panel
@@ -137,6 +137,19 @@ p AS (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS ts,
       FROM events GROUP BY 1, 2)"""
 
 
+def running_excess(spark: SparkSession, folder: str) -> Panel:
+    """Running total of what each hour of an event type brings above or below its usual: a walk."""
+    hourly = event_hourly(spark, folder)
+    usual = F.floor(F.avg("value").over(Window.partitionBy("k")))
+    over = hourly.df.withColumn("value", F.col("value") - usual)
+    return hourly.derive(over.withColumn("value", F.sum("value").over(Window.partitionBy("k").orderBy("ts"))))
+
+
+RUNNING_EXCESS = EVENT_HOURLY.replace("p AS", "h0 AS", 1) + """,
+h1 AS (SELECT k, ts, value - floor(avg(value) OVER (PARTITION BY k)) AS value FROM h0),
+p AS (SELECT k, ts, sum(value) OVER (PARTITION BY k ORDER BY ts) AS value FROM h1)"""
+
+
 def event_raw(spark: SparkSession, folder: str) -> Panel:
     """Every event as it is, per event type; irregular stamps."""
     events = table(spark, folder, "events").withColumnRenamed("event_type", "k")
