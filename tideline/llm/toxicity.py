@@ -169,10 +169,14 @@ def _sketch(words: list[str]) -> int:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
-    """Insult lexicon and calibration from at most ``sample`` labelled documents that aren't held out."""
+    """Insult lexicon and calibration from at most ``sample`` labelled documents that aren't held out.
+
+    Of rows that share an id, and of near copies, the one whose text has the least hash is learned from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y is not null")
     chosen = known.filter(~held_out()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    data = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y")  # `sample` rows at most
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
+    # One row of each id, the same on every run, so the sample bounds rows however often an id is repeated.
+    data = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +185,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             keys = pa.array([_sketch(ws) for ws in words], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("y"), keys, pa.array(found, pa.list_(pa.string()))], ["text", "y", "sketch", "found"])
 
-    data = stored(data.mapInArrow(run, "text string, y int, sketch long, found array<string>").dropDuplicates(["sketch", "y"]), "toxic_sample")
+    sketched = data.mapInArrow(run, "text string, y int, sketch long, found array<string>")
+    survivor = F.min_by(F.struct("text", "found"), F.struct(F.xxhash64("text"), "text")).alias("kept")
+    data = stored(sketched.groupBy("sketch", "y").agg(survivor).select("kept.text", "y", "sketch", "kept.found"), "toxic_sample")
     sizes = {r[0]: r[1] for r in data.groupBy("y").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
