@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.split import over_rows, positions, running_sums
-from tideline.panel import Panel, Size
+from tideline.panel import Panel
+
+
+CENTRED_ROWS = 250_000  # rows of one series a task may sort for a centred mean: each is entered three times
 
 
 def _rolling(window: int) -> dict:
@@ -91,7 +94,9 @@ def centred_mean(panel: Panel, counts: DataFrame) -> DataFrame:
     ``counts`` gives ``n`` and the mean ``_mean`` per series; sums run on distances from
     the rounded mean, which keeps them small and, for whole numbers, exact. Because the frame
     differs per series, each value is entered where it joins the frame and taken out
-    where it leaves, and one running sum gives every frame total."""
+    where it leaves, and one running sum gives every frame total. A chunk holds about
+    ``CENTRED_ROWS`` of these entries, however long the series is."""
+    panel = Panel(panel.df, panel.keys, min(panel.group_rows, CENTRED_ROWS), panel.measure, panel.broadcast_series)
     width = F.greatest(F.lit(5), F.floor(F.col("n") / 25))
     back, ahead = F.floor(width / 2), F.floor((width - 1) / 2)
     counts = counts.withColumn("_mean", F.round("_mean"))
@@ -103,12 +108,10 @@ def centred_mean(panel: Panel, counts: DataFrame) -> DataFrame:
     joins = entry(F.greatest(pos - ahead, F.lit(0)), none, off, F.lit(1))
     leaves = F.when(pos + back + 1 < F.col("n"), entry(pos + back + 1, none, -off, F.lit(-1)))
     centre = entry(pos, F.col("value"), F.lit(0.0), F.lit(0))
-    moves = panel.attach(positions(panel), counts).select(
+    moves = panel.attach(positions(panel, ties=["value"]), counts).select(
         *panel.keys, "n", "_mean", F.inline(F.filter(F.array(joins, leaves, centre), lambda e: e.isNotNull()))
     )
-    longest = panel.size
-    entries = panel.derive(moves, size=Size(longest.series, 3 * longest.largest))
-    summed = running_sums(entries, {"_sum": "total", "_rows": "count"}, order="at")
+    summed = running_sums(panel.derive(moves), {"_sum": "total", "_rows": "count"}, order="at", per_place=3)
     return summed.where(F.col("own").isNotNull()).select(
         *panel.keys,
         F.col("at").alias("pos"),

@@ -11,7 +11,7 @@ A series longer than ``Panel.group_rows`` is cut into chunks of consecutive rows
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,13 +19,21 @@ from pyspark.sql import functions as F
 from tideline.panel import Panel, micros
 
 BINS_PER_CHUNK = 16
+TASK_ROWS = 250_000  # rows that one task sorts on average: its memory must not follow the input
 
 
-def positions(panel: Panel, name: str = "pos") -> DataFrame:
+def in_pieces(df: DataFrame, rows: int, on: list[str]) -> DataFrame:
+    """``df`` of that many rows, dealt out by the columns ``on`` into so many pieces that none is
+    large. Their number is fixed: adaptive plans merge pieces by compressed bytes, not by rows."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *on)
+
+
+def positions(panel: Panel, name: str = "pos", ties: Sequence[str] = ()) -> DataFrame:
     """Add the 0-based position of each row inside its series, ordered by ``ts``.
 
     Stamps must be unique inside a series (true after cleaning); rows without a stamp
-    come first, in a time bin of their own."""
+    come first, in a time bin of their own. Where they are not, ``ties`` orders the rows of
+    a long series, which may be numbered twice and must come out the same."""
     if not panel.split:
         return panel.df.withColumn(name, (F.row_number().over(panel.window) - 1).cast("long"))
 
@@ -48,11 +56,12 @@ def positions(panel: Panel, name: str = "pos") -> DataFrame:
     before = Window.partitionBy(*keys).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select(*keys, bin_name, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias(offset_name))
     # A bin can still be too full when stamps crowd together: cut it again the same way.
-    if by_bin.size.largest < panel.size.largest:
-        numbered = positions(by_bin, inner_name)
+    if by_bin.split and by_bin.size.largest < panel.size.largest:
+        numbered = positions(by_bin, inner_name, ties)
     else:
-        inner = Window.partitionBy(*keys, bin_name).orderBy("ts")
-        numbered = rows.withColumn(inner_name, (F.row_number().over(inner) - 1).cast("long"))
+        inner = Window.partitionBy(*keys, bin_name).orderBy("ts", *ties)
+        dealt = in_pieces(rows, by_bin.measure.rows, [*keys, bin_name])
+        numbered = dealt.withColumn(inner_name, (F.row_number().over(inner) - 1).cast("long"))
     return (
         numbered.join(offsets, [*keys, bin_name])
         .withColumn(name, (F.col(offset_name) + F.col(inner_name)).cast("long"))
@@ -102,17 +111,19 @@ def over_rows(
     return done.where(F.col("_chunk") == chunk).drop("_chunk", *([] if has_pos else ["pos"]))
 
 
-def running_sums(panel: Panel, sums: dict[str, str], order: str = "pos") -> DataFrame:
+def running_sums(panel: Panel, sums: dict[str, str], order: str = "pos", per_place: int = 1) -> DataFrame:
     """Add running totals ``{new column: summed column}`` along an integer column.
 
-    Rows that share a place all get the total up to and including that place."""
+    Rows that share a place all get the total up to and including that place; about
+    ``per_place`` of them do, so a chunk is as many places shorter."""
     keys = panel.keys
     upto = (Window.unboundedPreceding, Window.currentRow)
     if not panel.split:
         window = Window.partitionBy(*keys).orderBy(order).rangeBetween(*upto)
         return panel.df.withColumns({new: F.sum(old).over(window) for new, old in sums.items()})
 
-    rows = panel.df.withColumn("_chunk", F.floor(F.col(order) / panel.group_rows).cast("long"))
+    places = max(1, panel.group_rows // per_place)
+    rows = panel.df.withColumn("_chunk", F.floor(F.col(order) / places).cast("long"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rangeBetween(*upto)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
@@ -121,9 +132,11 @@ def running_sums(panel: Panel, sums: dict[str, str], order: str = "pos") -> Data
         "_chunk",
         *[F.coalesce(F.sum(f"_t_{new}").over(earlier), F.lit(0)).alias(f"_c_{new}") for new in sums],
     )
+    dealt = in_pieces(rows, panel.measure.rows * per_place, [*keys, "_chunk"])
+    own = dealt.withColumns({new: F.sum(old).over(inside) for new, old in sums.items()})
     return (
-        rows.join(carried, [*keys, "_chunk"])
-        .withColumns({new: F.col(f"_c_{new}") + F.sum(old).over(inside) for new, old in sums.items()})
+        panel.attach(own, carried, "_chunk", panel.size.largest // places + 1)
+        .withColumns({new: F.col(f"_c_{new}") + F.col(new) for new in sums})
         .drop("_chunk", *[f"_c_{new}" for new in sums])
     )
 

@@ -41,6 +41,7 @@ class Measure:
 
     def __init__(self, df: DataFrame, keys: list[str], size: Size | None = None):
         self.df, self.keys, self._size = df, keys, size
+        self._rows: int | None = None
 
     @property
     def size(self) -> Size:
@@ -48,12 +49,19 @@ class Measure:
             row = (
                 self.df.groupBy(*self.keys)
                 .agg(F.count("*").alias("n"))
-                .agg(F.count("*").alias("series"), F.max("n").alias("largest"))
+                .agg(F.count("*").alias("series"), F.max("n").alias("largest"), F.sum("n").alias("rows"))
                 .first()
             )
-            self._size = Size(row["series"], row["largest"] or 0)
+            self._size, self._rows = Size(row["series"], row["largest"] or 0), row["rows"] or 0
         return self._size
 
+    @property
+    def rows(self) -> int:
+        """All rows: counted along with the size, or alone where the size was handed in."""
+        if self.size and self._rows is None:
+            self._rows = self.df.count()
+        return self._rows
+
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp without zone (session zone UTC)."""
